@@ -14,7 +14,7 @@ def nfc(c: Column | str) -> Column:
 def note_key(c: Column | str) -> Column:
     """A path as note key: NFC, U+00A0 as a space, case and all other blanks kept; null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(nfc(F.coalesce(c, F.lit(""))), " ", " ")).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(nfc(F.coalesce(c, F.lit(""))), "\u00a0", " ")).otherwise(c)
 
 
 def hex_number(c: Column | str) -> Column:
