@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notefold.functions.text import tokens
+from notefold.llm.bpe import count_tokens, encode
+from notefold.llm.ngrams import banded, ngram_counts
+from notefold.llm.pack import pack_documents
 from notefold.llm.split import split_oversized
+from notefold.llm.terms import term_weights, top_terms
+from notefold.operators.passages import live_passages
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -16,11 +22,94 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("piece = 1").select("path", "n")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def _passage_tokens(spark: SparkSession, d: str) -> DataFrame:
+    live = live_passages(spark.read.parquet(f"{d}/stored_passages.parquet"), "text")
+    return live.where(F.col("text").isNotNull()).select(tokens("text").alias("tokens"))
+
+
+def _passages(spark: SparkSession, d: str) -> int:
+    live = live_passages(spark.read.parquet(f"{d}/stored_passages.parquet"), F.col("text").isNotNull().alias("has"))
+    return live.where("has").count()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    counts = ngram_counts(_passage_tokens(spark, d), "tokens", 1)
+    return banded(counts, _passages(spark, d)).where(F.col("band").isNotNull()).select(F.col("gram").alias("term"), "band")
+
+
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    counts = ngram_counts(_passage_tokens(spark, d), "tokens", 1)
+    return banded(counts, _passages(spark, d)).select(F.col("gram").alias("term"), "cf", "df", "band")
+
+
+def p4_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_counts(_passage_tokens(spark, d), "tokens", 3)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return top_terms(term_weights(spark.read.parquet(f"{d}/stored_passages.parquet"), "tf_idf")).select("path", "term")
+
+
+def p5_log_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return term_weights(spark.read.parquet(f"{d}/stored_passages.parquet"), "log_entropy")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def p9_windows(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(count_tokens(spark.read.parquet(f"{d}/documents.parquet")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that had to be cut, by its second part, of which there is one."""
+    return p9_windows(spark, d).where("part = 1").select(F.col("item").alias("doc_id"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_terms": p4_terms,
+    "p4_ngrams": p4_ngrams,
+    "p5_found": p5_found,
+    "p5_log_entropy": p5_log_entropy,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_windows": p9_windows,
+}
 
 _LIVE = """live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, n ORDER BY vec DESC) AS k FROM stored_passages) WHERE k = 1)"""
+_TOKENS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{M}}]+'), lambda t: length(t) <= 64)"
+_TERMS = f"""
+WITH {_LIVE},
+t AS (SELECT vec, unnest({_TOKENS.format("text")}) AS term FROM live WHERE text IS NOT NULL),
+c AS (SELECT term, count(*) AS cf, count(DISTINCT vec) AS df FROM t GROUP BY 1),
+b AS (SELECT *, CASE WHEN df < 3 THEN 'rare' WHEN df > 0.15 * (SELECT count(*) FROM live WHERE text IS NOT NULL) THEN 'common' END AS band FROM c)"""
+_NOTE_TERMS = f"""
+WITH {_LIVE},
+ti AS (SELECT path, max(title) AS title FROM stored_passages WHERE path IS NOT NULL GROUP BY 1),
+w AS (SELECT path, unnest({_TOKENS.format("title")}) AS term FROM ti UNION ALL SELECT path, unnest({_TOKENS.format("text")}) FROM live WHERE path IS NOT NULL),
+f AS (SELECT path, term, count(*) AS tf FROM w GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT path) AS n FROM stored_passages)"""
 _SIZE = r"len(regexp_extract_all(lower({}), '[\p{{P}}\p{{S}}]|[^\s\x0B\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}\p{{P}}\p{{S}}]{{1,6}}'))"
 ORACLES = {
+    "p4_found": _TERMS + " SELECT term, band FROM b WHERE band IS NOT NULL",
+    "p4_terms": _TERMS + " SELECT term, cf, df, band FROM b",
+    "p4_ngrams": f"""
+WITH {_LIVE},
+t AS (SELECT vec, {_TOKENS.format("text")} AS tok FROM live WHERE text IS NOT NULL),
+g AS (SELECT vec, k AS n, unnest(list_transform(range(1, len(tok) - k + 2), lambda i: array_to_string(tok[i:i + k - 1], ' '))) AS gram
+      FROM t, (SELECT unnest([1, 2, 3]) AS k) WHERE len(tok) >= k)
+SELECT gram, n, count(*) AS cf, count(DISTINCT vec) AS df FROM g GROUP BY 1, 2""",
+    "p5_found": _NOTE_TERMS + """,
+d AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+s AS (SELECT path, term, row_number() OVER (PARTITION BY path ORDER BY round(tf * ln(n.n::DOUBLE / df), 6) DESC, term) AS k FROM f JOIN d USING (term), n)
+SELECT path, term FROM s WHERE k <= 3""",
+    "p5_log_entropy": _NOTE_TERMS + """,
+d AS (SELECT term, ln(sum(tf)) - sum(tf * ln(tf)) / sum(tf) AS h FROM f GROUP BY 1)
+SELECT path, term, round(ln(1 + tf) * (1 - h / ln(n.n)), 6) AS weight FROM f JOIN d USING (term), n""",
     "p2_found": f"""
 WITH {_LIVE},
 s AS (SELECT path, n, text, array_to_string(list_filter(list_prepend(title, coalesce(trail, [])), lambda x: x IS NOT NULL), ' > ') AS prefix FROM live WHERE text IS NOT NULL)
