@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ FOUND = "vec LONG, other LONG, cosine DOUBLE"
 def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The usable vectors of a list column scaled to length 1, and which rows they are."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    right = np.array(pa.compute.equal(pa.compute.fill_null(pa.compute.list_value_length(column), -1), dims))
+    right = np.array(pc.equal(pc.fill_null(pc.list_value_length(column), -1), dims))
     rows = np.flatnonzero(right)
     values = column.take(pa.array(rows)).flatten()
     x = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)

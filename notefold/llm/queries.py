@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notefold.functions.text import tokens
 from notefold.llm.bpe import count_tokens, encode
+from notefold.llm.neighbours import neighbours, ranked, similar_pairs
 from notefold.llm.ngrams import banded, ngram_counts
 from notefold.llm.pack import pack_documents
 from notefold.llm.split import split_oversized
@@ -54,6 +55,14 @@ def p5_log_entropy(spark: SparkSession, d: str) -> DataFrame:
     return term_weights(spark.read.parquet(f"{d}/stored_passages.parquet"), "log_entropy")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(neighbours(spark.read.parquet(f"{d}/passage_vectors.parquet"), k=10), 0.925)
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return ranked(neighbours(spark.read.parquet(f"{d}/passage_vectors.parquet"), k=10), 10)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(spark.read.parquet(f"{d}/documents.parquet"))
 
@@ -75,6 +84,8 @@ QUERIES = {
     "p4_ngrams": p4_ngrams,
     "p5_found": p5_found,
     "p5_log_entropy": p5_log_entropy,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_windows": p9_windows,
