@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notefold.functions.text import tokens
 from notefold.llm.bpe import count_tokens, encode
+from notefold.llm.garbled import repair
 from notefold.llm.neighbours import neighbours, ranked, similar_pairs
 from notefold.llm.ngrams import banded, ngram_counts
 from notefold.llm.pack import pack_documents
@@ -76,6 +77,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_windows(spark, d).where("part = 1").select(F.col("item").alias("doc_id"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return repair(spark.read.parquet(f"{d}/documents.parquet")).where("garbled").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return repair(spark.read.parquet(f"{d}/documents.parquet"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -89,6 +98,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_windows": p9_windows,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 
 _LIVE = """live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, n ORDER BY vec DESC) AS k FROM stored_passages) WHERE k = 1)"""
