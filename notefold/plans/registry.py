@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notefold.plans import upkeep
+from notefold.plans import searching, upkeep
 
-QUERIES = {**upkeep.QUERIES}
-ORACLES = {**upkeep.ORACLES}
+QUERIES = {**searching.QUERIES, **upkeep.QUERIES}
+ORACLES = {**searching.ORACLES, **upkeep.ORACLES}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["p3_found"](spark, d)
+    return QUERIES["exact_words_interleaved"](spark, d)
