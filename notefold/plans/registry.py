@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notefold.plans import searching, upkeep
+from notefold.plans import searching, syncing, upkeep
 
-QUERIES = {**searching.QUERIES, **upkeep.QUERIES}
-ORACLES = {**searching.ORACLES, **upkeep.ORACLES}
+QUERIES = {**searching.QUERIES, **syncing.QUERIES, **upkeep.QUERIES}
+ORACLES = {**searching.ORACLES, **syncing.ORACLES, **upkeep.ORACLES}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
