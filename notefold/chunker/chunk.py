@@ -181,7 +181,7 @@ def chunk(content: bytes, path: str, folder_in_prefix: bool = False, settings: S
     count = settings.count
     text = content.decode("utf-8", "replace")
     for _ in range(2):
-        text = text.removeprefix("﻿")
+        text = text.removeprefix("\ufeff")
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     *folders, name = path.split("/")
     title = _MD.sub("", name)

@@ -52,12 +52,12 @@ class WordPiece:
 
     def _kind(self, c: str) -> str:
         """What becomes of a character: a ``gap``, ``drop``ped, a word of its ``own`` or a ``part`` of one."""
-        if c == "﻿":
+        if c == "\ufeff":
             return "drop"
         if not words(c):
             return "gap"
         category = unicodedata.category(c)
-        if self.clean and (c in "\x00�" or category in ("Cc", "Cf", "Cn", "Co")):
+        if self.clean and (c in "\x00\ufffd" or category in ("Cc", "Cf", "Cn", "Co")):
             return "drop"
         ascii_mark = c < "\x7f" and not c.isalnum() and c > " "
         ideograph = self.set_apart and any(a <= ord(c) <= b for a, b in _IDEOGRAPHS)
