@@ -1,8 +1,8 @@
 """The k most similar vectors of every vector, by an inverted multi-index.
 
 Fit: the vectors are scaled to length 1 and cut into two halves, and each half is quantised by a
-codebook of its own, fitted by k-means on a bounded sample (``SAMPLE`` vectors, those with the
-least hash, so the same ones every time). A pair of centroids is a cell. Every vector is indexed.
+codebook of its own, fitted by k-means on a bounded sample (at most ``SAMPLE`` vectors, chosen by
+hash, so the same ones every time). A pair of centroids is a cell. Every vector is indexed.
 
 Routing: occupied cells (at most ``CENTROIDS`` squared, whatever the input) are grouped into blocks
 of about ``BLOCK`` vectors. For each block the centroid pairs are traversed in the order of their
@@ -236,8 +236,12 @@ def _search(k: int, dims: int):
 
 def fit(vectors: DataFrame, id_col: str, vector_col: str, dims: int = DIMS, centroids: int = CENTROIDS, sample: int = SAMPLE) -> MultiIndex | None:
     """The codebooks, fitted on the driver to at most ``sample`` vectors."""
-    rows = vectors.where(F.size(vector_col) == dims).select(id_col, vector_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).toArrow()
-    x, _ = unit_rows(rows.column(0), dims)
+    rows = vectors.where(F.size(vector_col) == dims).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    share = 0.9 * sample / max(1, vectors.count())  # by hash, so that the same rows are taken every time and nothing is sorted
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    taken = rows.limit(sample).toArrow().sort_by("id")
+    x, _ = unit_rows(taken.column("v"), dims)
     if not len(x):
         return None
     h = dims // 2
