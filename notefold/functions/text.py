@@ -41,7 +41,7 @@ def tokens(c: Column | str) -> Column:
 
 def is_distinctive(t: Column) -> Column:
     """Neither a stop word nor a single letter of a to z."""
-    return ~t.isin(*STOP_WORDS) & ~t.rlike("^[a-z]$")
+    return ~t.isin(*STOP_WORDS) & ~((F.length(t) == 1) & t.between("a", "z"))
 
 
 def distinctive_tokens(c: Column | str) -> Column:

@@ -1,17 +1,24 @@
 """Exact nearest passages by meaning: top-k for each wording, best passage of each note.
 
-The wordings' vectors are a call's questions, so they are broadcast; each partition keeps its own
-best k before anything is shuffled (Spark's window group limit), and a passage's vector is never
-shuffled. Arithmetic is in double precision in the order of the elements.
+Questions go to the executors in blocks of at most ``BLOCK``, so what is broadcast has a fixed
+size however many there are. Each Arrow batch of passages is one matrix product in double
+precision and hands on only what can still be among a question's first k; a passage's vector is
+never shuffled. A window over those candidates ranks them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notefold.functions.vectors import similarity, vector_ok
+from notefold.functions.vectors import vector_ok
 
+BLOCK = 2_048
 DEFAULT_COUNT, MOST_COUNT = 8, 50
 
 
@@ -19,14 +26,49 @@ def clamp_count(count: int | None) -> int:
     return max(1, min(MOST_COUNT, DEFAULT_COUNT if count is None else count))
 
 
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Usable vectors as rows of length 1, in double precision."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _best_of_batches(wordings: np.ndarray, q: np.ndarray, k: int, dims: int, types: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = np.clip(_matrix(b.column("vector"), dims) @ q.T, 0.0, 1.0)
+            if len(s) > k:  # ties with the k-th go on, the window decides among them
+                bar = np.partition(s, len(s) - k, axis=0)[len(s) - k] - 1e-8
+                rows, asked = np.nonzero(s >= bar)
+            else:
+                rows, asked = (a.ravel() for a in np.indices(s.shape))
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(wordings[asked]).cast(types.field("wording").type), b.column("path").take(at), b.column("n").take(at), pa.array(s[rows, asked])], schema=types)
+
+    return run
+
+
 def top_k(vectors: DataFrame, questions: DataFrame, k: int, dims: int) -> DataFrame:
     """(wording, path, n, score, rank): the ``k`` most similar passages of each question.
 
     ``vectors`` holds (path, n, vector), ``questions`` (wording, vector). Vectors of no use are
     left out on both sides. Ties go to the smaller path, then n.
     """
-    asked = F.broadcast(questions.where(vector_ok("vector", dims)).select("wording", F.col("vector").alias("q")))
-    scored = vectors.where(vector_ok("vector", dims)).crossJoin(asked).select("wording", "path", "n", similarity(F.col("vector"), F.col("q")).alias("score"))
+    rows = vectors.where(vector_ok("vector", dims)).select("path", "n", "vector")
+    asked = questions.where(vector_ok("vector", dims)).select("wording", "vector")
+    kind = {f: rows.schema[f].dataType.simpleString() for f in ("path", "n")} | {"wording": asked.schema["wording"].dataType.simpleString()}
+    names = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+    types = pa.schema([("wording", names[kind["wording"]]), ("path", names[kind["path"]]), ("n", names[kind["n"]]), ("score", pa.float64())])
+    schema = f"wording {kind['wording']}, path {kind['path']}, n {kind['n']}, score DOUBLE"
+    scored = rows.sparkSession.createDataFrame([], schema)
+    blocks = -(-asked.count() // BLOCK)
+    for i in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("wording"), F.lit(blocks)) == i) if blocks > 1 else asked
+        some = some.toArrow()
+        if some.num_rows:
+            q = _matrix(pc.cast(some["vector"].combine_chunks(), pa.list_(pa.float64())), dims)
+            scored = scored.unionByName(rows.mapInArrow(_best_of_batches(some["wording"].to_numpy(), q, k, dims, types), schema))
     w = Window.partitionBy("wording").orderBy(F.desc(F.round("score", 9)), "path", "n")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -22,16 +22,23 @@ def fields(title: str = "title", trail: str = "trail", text: str = "text") -> Co
     return F.array_compact(F.concat(F.array(F.col(title)), heads, F.array(F.col(text))))
 
 
-def postings(passages: DataFrame) -> DataFrame:
-    """(path, n, token, tf), tf at most 255."""
-    words = passages.select("path", "n", F.explode(F.flatten(F.transform(fields(), distinctive_tokens))).alias("token"))
+def field_tokens() -> Column:
+    """The distinctive tokens of all fields: a line break between fields ends a token as a field's end does."""
+    return distinctive_tokens(F.array_join(fields(), "\n"))
+
+
+def postings(passages: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(path, n, token, tf), tf at most 255; with ``only``, of these tokens, the others never leaving their row."""
+    found = field_tokens()
+    if only is not None:
+        found = F.filter(found, lambda t: t.isin(*only) if only else F.lit(False))
+    words = passages.select("path", "n", F.explode(found).alias("token"))
     return words.groupBy("path", "n", "token").agg(F.count(F.lit(1)).alias("hits")).select("path", "n", "token", F.least(F.col("hits"), F.lit(MOST_TF)).alias("tf"))
 
 
 def doc_lengths(passages: DataFrame) -> DataFrame:
     """(path, n, doc_len): the distinctive tokens of each passage, at most 65535; passages without any have 0."""
-    size = F.aggregate(fields(), F.lit(0), lambda s, f: s + F.size(distinctive_tokens(f)))
-    return passages.select("path", "n", F.least(size, F.lit(MOST_LEN)).cast("long").alias("doc_len"))
+    return passages.select("path", "n", F.least(F.size(field_tokens()), F.lit(MOST_LEN)).cast("long").alias("doc_len"))
 
 
 def idf(n: Column, df: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notefold.functions.keys import note_key
 from notefold.functions.links import build_link
-from notefold.functions.screen import mask_secrets, screen_flags, screen_rules
+from notefold.functions.screen import flags_of, mask_secrets, screen_rules
 from notefold.operators import plan as p
 from notefold.operators.lastput import last_put_wins
 from notefold.operators.snapshots import snapshot_index
@@ -133,7 +133,8 @@ def _planted() -> Column:
 
 def screen(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", _planted().alias("t"))
-    return rows.select("doc_id", F.array_join(screen_flags("t"), ",").alias("flags"), F.array_join(screen_rules("t"), ",").alias("rules"))
+    rows = rows.select("doc_id", screen_rules("t").alias("r"))
+    return rows.select("doc_id", F.array_join(flags_of("r"), ",").alias("flags"), F.array_join("r", ",").alias("rules"))
 
 
 def mask(spark: SparkSession, d: str) -> DataFrame:
