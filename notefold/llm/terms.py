@@ -5,9 +5,10 @@ term: the notes that hold it (for tf-idf) or the entropy of its spread over the
 log-entropy weights). The weight is then a matter of one row.
 
 Layout: the live passages are put together by note, so most of the first aggregation happens
-where the texts lie and its rows are never shuffled. Notes with more than ``HOT_ROWS`` stored
-rows (at most rows / HOT_ROWS of them, a list that is small by construction) are spread over
-salts by passage number, and only their counts are added up once more. The terms that many notes
+where the texts lie and its rows are never shuffled. A note with more stored rows than a quarter of
+what a partition holds on average (so at most four for each partition, a list that doesn't grow
+with the input) is spread by passage number over half as many salts as there are partitions, and
+only the counts of those notes are added up once more. The terms that many notes
 hold come back to their rows by broadcast: a list of at most ``FREQUENT`` terms, bounded because
 only terms in more than rows / FREQUENT notes are on it. All others join by shuffle; none of them
 is large enough to skew it.
@@ -37,11 +38,13 @@ FREQUENT = 20_000
 def note_terms(stored: DataFrame) -> DataFrame:
     """(path, term, tf): the first aggregation."""
     has_path = stored.where(F.col("path").isNotNull())
-    hot = has_path.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS).select("path", F.lit(True).alias("hot"))
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot_rows, salts = max(HOT_ROWS, stored.count() // (4 * parts)), max(SALTS, parts // 2)
+    hot = has_path.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows).select("path", F.lit(True).alias("hot"))
     titles = has_path.groupBy("path").agg(F.max("title").alias("text")).select("path", F.lit(0).alias("n"), F.lit(0).cast("long").alias("vec"), "text", F.lit(True).alias("is_title"))
     texts = has_path.select("path", "n", "vec", "text", F.lit(False).alias("is_title"))
     rows = texts.unionByName(titles).join(F.broadcast(hot), "path", "left")
-    rows = rows.withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("n"), F.lit(SALTS))).otherwise(F.lit(0)))
+    rows = rows.withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash("n"), F.lit(salts))).otherwise(F.lit(0)))
     live = live_passages(rows.repartition("path", "salt"), "text", "hot", by=["salt", "is_title"])
     words = live.select("path", "salt", "hot", F.explode(tokens("text")).alias("term"))
     # The rows lie by (path, salt), so this needs no shuffle; it is written because it is read often.
