@@ -1,7 +1,7 @@
 """Filling windows of a fixed capacity with items, by multiway differencing.
 
-Items are dealt by a hash of their id into groups of about ``GROUP_TOKENS`` tokens, so no task
-ever holds more than that, however many items there are. Within a group Karmarkar-Karp multiway
+Items are dealt by a hash into groups of about ``GROUP_TOKENS`` tokens (an item counts as
+``ITEM_WEIGHT`` more), so no task ever holds more than that, however many items there are. Within a group Karmarkar-Karp multiway
 differencing starts with a partition for each item, and again and again merges the two partitions
 whose windows differ most, the fullest windows of one onto the emptiest of the other, so that the
 imbalances cancel. The result is windows of nearly equal fill; their number is the least that the
@@ -28,6 +28,7 @@ from notefold.storage import write_table
 
 CAPACITY = 4096
 GROUP_TOKENS = 500_000
+ITEM_WEIGHT = 32
 
 ASSIGNED = "item LONG, part INT, parts INT, start LONG, size LONG, grp LONG, win INT"
 
@@ -78,8 +79,10 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def fill_windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The window of each item; all sizes are at most the capacity."""
     k = max(1, int(-(-int(sizes.sum()) // capacity)))
+    some = sizes > 0
+    window = np.arange(len(sizes), dtype=np.int64) % k  # where items without size go
     while True:
-        window, fills = differencing(sizes, k)
+        window[some], fills = differencing(sizes[some], k)
         if fills.max(initial=0) <= capacity:
             return window
         k += 1  # ends: with as many windows as items of any size each has its own
@@ -107,8 +110,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     """
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     items = items.select(F.col(id_col).cast("long").alias("item"), size.alias("all"))
-    total = items.agg(F.sum("all")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
+    sums = items.agg(F.sum("all").alias("tokens"), F.count(F.lit(1)).alias("items")).first()
+    # Items count as well as tokens, so that many small or empty ones aren't one group.
+    groups = max(1, -(-((sums["tokens"] or 0) + ITEM_WEIGHT * sums["items"]) // group_tokens))
     parts = F.greatest(F.lit(1), F.ceil(F.col("all") / F.lit(capacity))).cast("int")
     rows = items.select("item", "all", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     rows = rows.select(
@@ -117,7 +121,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
         "parts",
         (F.col("part") * F.lit(capacity).cast("long")).alias("start"),
         F.least(F.lit(capacity).cast("long"), F.col("all") - F.col("part") * F.lit(capacity).cast("long")).alias("size"),
-        F.pmod(F.xxhash64("item", "part"), F.lit(groups)).alias("grp"),
+        F.pmod(F.xxhash64("item", "part", F.monotonically_increasing_id()), F.lit(groups)).alias("grp"),
     )
     return rows.groupBy("grp").applyInArrow(_pack_group(capacity), ASSIGNED)
 
