@@ -40,6 +40,9 @@ CENTROIDS = 512
 SAMPLE = 40_000
 ROUNDS = 8
 BLOCK = 3_000
+HOT_BLOCKS = 4  # a block with more queries than this many blocks should have is split
+MOST_PRODUCTS = 16_000_000  # of one matrix product
+FEW_BLOCKS = 512  # up to here the driver traverses the cells for the blocks itself
 CANDIDATES = 12_000
 
 FOUND = "vec LONG, other LONG, cosine DOUBLE"
@@ -115,28 +118,47 @@ class MultiIndex:
         h = x.shape[1] // 2
         return nearest(x[:, :h], self.first) * len(self.second) + nearest(x[:, h:], self.second)
 
-    def route(self, cells: np.ndarray, counts: np.ndarray, block: int, candidates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Blocks of the occupied cells: for each cell where its entries go, as (offsets, blocks), and its own block."""
+    def blocks(self, cells: np.ndarray, counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Occupied cells in blocks of about ``block`` vectors: (the blocks' centres, each cell's own block)."""
         k2 = len(self.second)
         centres = np.concatenate([self.first[cells // k2], self.second[cells % k2]], axis=1)
-        centres = centres[np.argsort(cells)]
-        counts, cells = counts[np.argsort(cells)], np.sort(cells)
-        n_blocks = max(1, -(-int(counts.sum()) // block))
-        middle = kmeans(centres, n_blocks, 6, counts)
-        own = nearest(centres, middle)
+        middle = kmeans(centres, max(1, -(-int(counts.sum()) // block)), 6, counts)
+        return middle, nearest(centres, middle)
+
+    def reached(self, middle: np.ndarray, occupied: dict[int, int], candidates: int) -> list[int]:
+        """The cells that a block's traversal passes."""
         h = self.first.shape[1]
-        occupied = dict(zip(cells.tolist(), counts.tolist()))
+        d1 = ((self.first - middle[:h]) ** 2).sum(axis=1)
+        d2 = ((self.second - middle[h:]) ** 2).sum(axis=1)
+        return traverse(d1, d2, occupied, candidates)
+
+
+class Routes:
+    """Where a cell's vectors go. Its size is bounded by the cells and what the traversals passed."""
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray, own: np.ndarray, reached: list[tuple[int, int]], n_cells: int, block: int):
         place = {c: i for i, c in enumerate(cells.tolist())}
         goes: list[set[int]] = [{int(b)} for b in own]
-        for b, m in enumerate(middle):
-            d1 = ((self.first - m[:h]) ** 2).sum(axis=1)
-            d2 = ((self.second - m[h:]) ** 2).sum(axis=1)
-            for c in traverse(d1, d2, occupied, candidates):
-                goes[place[c]].add(b)
-        offsets = np.concatenate([[0], np.cumsum([len(g) for g in goes])])
-        table = np.full(len(self.first) * k2, -1, dtype=np.int32)
-        table[cells] = np.arange(len(cells))
-        return table, offsets, np.array([b for i, g in enumerate(goes) for b in sorted(g, key=lambda b: b != own[i])], dtype=np.int32)
+        for b, c in reached:
+            goes[place[c]].add(b)
+        self.place = np.full(n_cells, -1, dtype=np.int32)
+        self.place[cells] = np.arange(len(cells), dtype=np.int32)
+        # A block with many queries of its own is several tasks: each has a part of the queries and all entries.
+        homes = np.bincount(own, weights=counts, minlength=int(own.max()) + 1 if len(own) else 1)
+        n_blocks = max(len(homes), max((max(g) for g in goes), default=0) + 1)
+        self.parts = np.ones(n_blocks, dtype=np.int64)
+        self.parts[: len(homes)] = np.maximum(1, np.ceil(homes / (HOT_BLOCKS * block))).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.parts)])
+        self.own = own
+        self.lists = [np.concatenate([np.arange(self.start[b], self.start[b + 1]) for b in sorted(g)]).astype(np.int32) for g in goes]
+
+    def of(self, cell: int, vec: int) -> np.ndarray:
+        """Task ids for a vector: its own first, where it is a query, then those where it is an entry only."""
+        i = self.place[cell]
+        b = self.own[i]
+        home = self.start[b] + (vec * 0x9E3779B1 >> 7) % self.parts[b]
+        every = self.lists[i]
+        return np.concatenate([[home], every[every != home]])
 
 
 def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +187,9 @@ def top_of_block(x: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray
     if k < 1:
         return best, cos
     few = min(n, 1_500)
-    for i in range(0, len(queries), 1024):
-        q = queries[i : i + 1024]
+    step = max(16, min(1024, MOST_PRODUCTS // n))
+    for i in range(0, len(queries), step):
+        q = queries[i : i + step]
         s = x[q] @ x.T
         s[np.arange(len(q)), q] = -2
         # A bound for the k-th best from a part of the columns; then only what reaches it is ranked.
@@ -268,16 +291,32 @@ def neighbours(vectors: DataFrame, id_col: str = "vec", vector_col: str = "embed
     held = rows.mapInArrow(count_cells, "cell LONG, n LONG").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     if not held.num_rows:
         return spark.createDataFrame([], FOUND)
-    routes = spark.sparkContext.broadcast(index.route(held["cell"].to_numpy(), held["n"].to_numpy(), block, candidates))
+    order = np.argsort(held["cell"].to_numpy())
+    cells, counts = held["cell"].to_numpy()[order], held["n"].to_numpy()[order]
+    middle, own = index.blocks(cells, counts, block)
+    occupied = dict(zip(cells.tolist(), counts.tolist()))
+    if len(middle) <= FEW_BLOCKS:
+        reached = [(b, c) for b, m in enumerate(middle) for c in index.reached(m, occupied, candidates)]
+    else:
+        shared = spark.sparkContext.broadcast((index, middle, occupied))
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, middle, occupied = shared.value
+            for batch in batches:
+                pairs = [(b, c) for b in batch.column(0).to_pylist() for c in index.reached(middle[b], occupied, candidates)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in pairs], pa.int64()), pa.array([c for _, c in pairs], pa.int64())], names=["block", "cell"])
+
+        found = spark.range(0, len(middle), 1, -(-len(middle) // 64)).mapInArrow(reach, "block LONG, cell LONG").toArrow()
+        reached = list(zip(found["block"].to_pylist(), found["cell"].to_pylist()))
+    routes = spark.sparkContext.broadcast(Routes(cells, counts, own, reached, len(index.first) * len(index.second), block))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, offsets, blocks = routes.value
+        r = routes.value
         for b in batches:
             x, ids = _distinct(b.column(0), b.column(1), dims)
             if not len(x):
                 continue
-            place = table[index.cells(x)]
-            to = [blocks[offsets[p] : offsets[p + 1]] for p in place]
+            to = [r.of(c, int(v[0])) for c, v in zip(index.cells(x), ids)]
             size = dims * 4
             raw = x.tobytes()
             yield pa.RecordBatch.from_arrays(

@@ -88,3 +88,21 @@ def test_dirty_vectors_copies_and_ties(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neighbours(empty).count() == 0
     assert neighbours(spark.createDataFrame([(1, a, ""), (2, None, "")], SCHEMA)).count() == 0
+
+
+def test_hot_and_many_blocks(spark, monkeypatch):
+    """A cell with most vectors is several tasks, and the traversal is done by the executors."""
+    from notefold.llm import neighbours as nb
+
+    monkeypatch.setattr(nb, "HOT_BLOCKS", 1)
+    monkeypatch.setattr(nb, "FEW_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    one = unit(rng, 1)[0]
+    x = np.concatenate([one + 0.02 * rng.standard_normal((300, 64)), unit(rng, 300)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in ranked(neighbours(df, centroids=8, block=40, candidates=500)).collect():
+        got.setdefault(r["vec"], []).append(r["other"])
+    want = brute(x / np.linalg.norm(x, axis=1, keepdims=True), list(range(600)), 10)
+    assert set(got) == set(want) and all(len(set(v)) == 10 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.9
