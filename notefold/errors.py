@@ -49,3 +49,7 @@ class Busy(NotefoldError):
     """Another run published first."""
 
     exit_code = 6
+
+
+class EmbeddingFails(NotefoldError):
+    """So many notes got no vector that going on makes no sense."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from notefold.chunker.chunk import Settings
 from notefold.embed import Embedder, HashedWords
-from notefold.errors import IndexInsideSource, MassDelete, NotSynced, SourceEmpty, SourceMissing
+from notefold.errors import EmbeddingFails, IndexInsideSource, MassDelete, NotSynced, SourceEmpty, SourceMissing
 from notefold.functions.screen import screen_flags
 from notefold.operators import plan as p
 from notefold.operators.chunking import chunk_notes, embed_passages, explode_passages
@@ -24,6 +24,9 @@ from notefold.storage import write_table
 from notefold.store import Change, State, Store
 
 
+MOST_FAILED, FAILED_SHARE = 20, 0.25
+
+
 @dataclass
 class SyncResult:
     in_step: bool
@@ -107,6 +110,9 @@ class Index:
         work = plan.where(F.col("action").isin("added", "updated"))
         passages = explode_passages(chunked.join(work.select("path"), "path", "left_semi"))
         passages = write_table(embed_passages(passages.withColumn("flags", screen_flags("text")), self.make), "embedded")
+        failed = passages.groupBy("path").agg(F.count_if(F.col("vector").isNull()).alias("lost")).agg(F.count(F.lit(1)).alias("done"), F.count_if(F.col("lost") > 0).alias("failed")).first()
+        if failed["failed"] > MOST_FAILED or (failed["done"] >= 8 and failed["failed"] >= FAILED_SHARE * failed["done"]):
+            raise EmbeddingFails(f"{failed['failed']} of {failed['done']} notes got no vector")
         per_note = passages.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("passages"), F.count_if(F.size("flags") > 0).cast("int").alias("flagged"))
         facts = chunked.select("path", "title", "aliases", "tags")
         meta_now = work.select("path", "sha256", "size", "mtime_ms", p.is_racy(now, F.col("mtime_ms")).alias("racy"), "fip")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notefold.plans import searching, syncing, upkeep
+from notefold.plans import notes, searching, syncing, upkeep
 
-QUERIES = {**searching.QUERIES, **syncing.QUERIES, **upkeep.QUERIES}
+QUERIES = {**notes.QUERIES, **searching.QUERIES, **syncing.QUERIES, **upkeep.QUERIES}
 ORACLES = {**searching.ORACLES, **syncing.ORACLES, **upkeep.ORACLES}
 
 

@@ -208,3 +208,22 @@ def _steady(path: str) -> bytes | None:
         if (before.st_size, before.st_mtime_ns) == (after.st_size, after.st_mtime_ns):
             return data
     return None
+
+
+def lookup_vault(root: str, registry: str) -> tuple[str, str | None]:
+    """(state, link name) of a folder in the editor's list of vaults, a JSON file.
+
+    The state is ``registered``, ``not-registered`` or ``no-list``. A vault is linked by its name,
+    by its id where another vault has the same name.
+    """
+    name = os.path.basename(os.path.realpath(root))
+    try:
+        with open(registry, encoding="utf-8") as f:
+            vaults = {i: str((v or {}).get("path") or "") for i, v in json.load(f)["vaults"].items()}
+    except (OSError, ValueError, KeyError, AttributeError, TypeError):
+        return "no-list", name
+    mine = next((i for i, p in vaults.items() if p and os.path.realpath(p) == os.path.realpath(root)), None)
+    if mine is None:
+        return "not-registered", None
+    same = sum(os.path.basename(p.rstrip("/")).lower() == name.lower() for p in vaults.values())
+    return "registered", mine if same > 1 else name

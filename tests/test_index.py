@@ -6,12 +6,12 @@ import subprocess
 
 import pytest
 
-from notefold.errors import Busy, IndexInsideSource, MassDelete, NewerIndex, NotSynced, SourceEmpty, SourceMissing
+from notefold.errors import Busy, EmbeddingFails, IndexInsideSource, MassDelete, NewerIndex, NotSynced, SourceEmpty, SourceMissing
 from notefold.index import Index
 from notefold.operators.chunking import chunk_notes, explode_passages, register_sql
 from notefold.operators.plan import PlanTotals, would_stop
 from notefold.sources.log import live_records, read_log, read_questions, write_log
-from notefold.sources.vault import exclude_key, read_listing, unmatched
+from notefold.sources.vault import exclude_key, lookup_vault, read_listing, unmatched
 from notefold.store import Store
 from notefold.streaming.syncs import stream_log
 
@@ -123,6 +123,34 @@ def test_stops(spark, tmp_path):
         index.store.state()
 
 
+def test_failing_embedder_stops_a_sync(spark, tmp_path):
+    import numpy as np
+
+    from notefold.embed import HashedWords
+
+    class Broken(HashedWords):
+        def embed(self, texts):
+            return np.full((len(texts), self.dimensions), np.nan, dtype=np.float32)
+
+    root = str(tmp_path / "n")
+    write(root, **{f"N{i}.md": f"words of the note number {i}\n" for i in range(9)})
+    index = Index.create(spark, root, str(tmp_path / "i"), embedder=Broken)
+    with pytest.raises(EmbeddingFails):
+        index.sync()
+    assert index.store.state().number == 0
+
+
+def test_vault_registry(tmp_path):
+    a, b = tmp_path / "x" / "Notes", tmp_path / "y" / "notes"
+    a.mkdir(parents=True), b.mkdir(parents=True)
+    reg = tmp_path / "r.json"
+    assert lookup_vault(str(a), str(reg)) == ("no-list", "Notes")
+    reg.write_text(json.dumps({"vaults": {"id1": {"path": str(a)}}}))
+    assert lookup_vault(str(a), str(reg)) == ("registered", "Notes") and lookup_vault(str(b), str(reg)) == ("not-registered", None)
+    reg.write_text(json.dumps({"vaults": {"id1": {"path": str(a)}, "id2": {"path": str(b)}}}))
+    assert lookup_vault(str(b), str(reg)) == ("registered", "id2")
+
+
 def test_totals():
     assert PlanTotals(50, 100, 30, 0, 30).leaving == 0
     assert PlanTotals(50, 40, 12, 0, 0).mass_delete and not PlanTotals(50, 100, 10, 0, 0).mass_delete and not PlanTotals(50, 100, 20, 0, 0).mass_delete
