@@ -40,6 +40,8 @@ CENTROIDS = 512
 SAMPLE = 40_000
 ROUNDS = 8
 BLOCK = 3_000
+BLOCKS_A_TASK = 4
+MOST_PARTITIONS = 20_000
 HOT_BLOCKS = 4  # a block with more queries than this many blocks should have is split
 MOST_PRODUCTS = 16_000_000  # of one matrix product
 FEW_BLOCKS = 512  # up to here the driver traverses the cells for the blocks itself
@@ -308,7 +310,9 @@ def neighbours(vectors: DataFrame, id_col: str = "vec", vector_col: str = "embed
 
         found = spark.range(0, len(middle), 1, -(-len(middle) // 64)).mapInArrow(reach, "block LONG, cell LONG").toArrow()
         reached = list(zip(found["block"].to_pylist(), found["cell"].to_pylist()))
-    routes = spark.sparkContext.broadcast(Routes(cells, counts, own, reached, len(index.first) * len(index.second), block))
+    routing = Routes(cells, counts, own, reached, len(index.first) * len(index.second), block)
+    routes = spark.sparkContext.broadcast(routing)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, -(-int(routing.start[-1]) // BLOCKS_A_TASK)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = routes.value
@@ -330,7 +334,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec", vector_col: str = "embed
 
     sent = rows.mapInArrow(send, "unit BINARY, vecs ARRAY<LONG>, blocks ARRAY<INT>")
     sent = sent.select("unit", "vecs", F.posexplode("blocks").alias("nth", "block")).select("unit", "vecs", "block", (F.col("nth") == 0).alias("home"))
-    return sent.groupBy("block").applyInArrow(_search(k, dims), FOUND)
+    # A few blocks in a task, however much larger than the session's default the input is.
+    return sent.repartition(tasks, "block").groupBy("block").applyInArrow(_search(k, dims), FOUND)
 
 
 def ranked(found: DataFrame, k: int = 10) -> DataFrame:
