@@ -7,8 +7,8 @@ on until no word has a pair to merge; an ordered aggregation gives the ids. Sinc
 repeats its words, a worker's cache answers nearly all of them afterwards. Nothing is shuffled:
 each partition is encoded where it is read, so the work splits as the input does.
 
-A long word would make many rounds; ``_pairs`` contracts all places of the word's least pair in a
-round that don't overlap, which gives the same ids as one place at a time.
+A long word would make many rounds; the query contracts all places of the word's least pair that
+don't overlap in one round, from the left, which gives the same ids as one place at a time.
 
 Defined results: a null or an empty text has the empty list; the names of special tokens are
 ordinary text; lone surrogates can't occur in Spark's strings; any length of text is encoded

@@ -117,6 +117,15 @@ f AS (SELECT path, term, count(*) AS tf FROM w GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT path) AS n FROM stored_passages)"""
 _SIZE = r"len(regexp_extract_all(lower({}), '[\p{{P}}\p{{S}}]|[^\s\x0B\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}\p{{P}}\p{{S}}]{{1,6}}'))"
 ORACLES = {
+    # All more similar vectors of a pair above the limit are above it as well, so the ranks of such pairs are enough.
+    "p6_found": """
+WITH v AS (SELECT vec, any_value(list_transform(embedding, lambda x: x::DOUBLE)) AS e FROM passage_vectors
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+u AS (SELECT vec, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))::DOUBLE[64] AS u FROM v),
+p AS (SELECT a.vec AS a, b.vec AS b, array_inner_product(a.u, b.u) AS c FROM u a JOIN u b ON a.vec < b.vec AND array_inner_product(a.u, b.u) >= 0.925),
+d AS (SELECT a, b, c FROM p UNION ALL SELECT b, a, c FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 7) DESC, b) AS k FROM d)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 10""",
     "p4_found": _TERMS + " SELECT term, band FROM b WHERE band IS NOT NULL",
     "p4_terms": _TERMS + " SELECT term, cf, df, band FROM b",
     "p4_ngrams": f"""
