@@ -66,21 +66,25 @@ class Index:
     def listing(self) -> DataFrame:
         return read_listing(self.spark, self.root, self.exclude, self.editor_filters)
 
-    def _plan(self, state: State, rows: DataFrame, verify: bool) -> tuple[DataFrame, DataFrame]:
+    def _first_look(self, state: State, rows: DataFrame, verify: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(classified by size, date and place, manifest, left out); to verify is to trust no date."""
+        manifest, left = self.store.read("notes", state).select("path", "sha256", "size", "mtime_ms", "racy", "fip"), self.store.read("left_out", state)
+        if verify:
+            manifest, left = manifest.withColumn("racy", F.lit(True)), left.withColumn("racy", F.lit(True))
+        notes = rows.where("kind = 'note'").select("path", "size", "mtime_ms", "reason")
+        return p.classify(notes, manifest, left, shallow=False), manifest, left
+
+    def _plan(self, rows: DataFrame, looked: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
         """The plan, and the notes whose bytes had to be read with their passages."""
-        manifest, left = self.store.read("notes", state), self.store.read("left_out", state)
+        first, manifest, left = looked
         notes = rows.where("kind = 'note'")
         unreadable = [r["path"] for r in rows.where("kind = 'unreadable'").select("path").collect()]  # folders that can't be listed
-        if verify:
-            manifest = manifest.withColumn("racy", F.lit(True))
-            left = left.withColumn("racy", F.lit(True))
-        first = p._classify(notes.select("path", "size", "mtime_ms", "reason"), manifest.select("path", "sha256", "size", "mtime_ms", "racy", "fip"), left, shallow=False)
         todo = first.where(F.col("action").isin("new", "changed")).select("path", "fip").join(notes.where(F.col("reason").isNull()).select("path", "abs", "size", "mtime_ms"), "path")
         chunked = write_table(chunk_notes(read_bytes(todo), self.settings), "chunked")
         found = chunked.select("path", "sha256", F.col("reason").alias("why"))
         seen = notes.select("path", "size", "mtime_ms", "reason").join(found, "path", "left")
         seen = seen.withColumn("reason", F.coalesce("reason", F.when(F.col("why") != "unreadable", F.col("why")))).withColumn("lost", F.col("why") == "unreadable").drop("why")
-        plan = p.full_plan(seen, manifest.select("path", "sha256", "size", "mtime_ms", "racy", "fip"), left, unreadable)
+        plan = p.full_plan(seen, manifest, left, unreadable)
         lost = F.coalesce("lost", F.lit(False))
         plan = plan.withColumn("reason", F.when(lost, "unreadable").otherwise(F.col("reason"))).withColumn("action", F.when(lost, "skipped").otherwise(F.col("action")))
         return write_table(plan.drop("lost"), "plan"), chunked
@@ -91,7 +95,12 @@ class Index:
         made_with = self._versions()
         full = full or bool(state.number) and state.meta.get("made_with") != made_with
         rows = write_table(self.listing(), "listing")
-        plan, chunked = self._plan(State(state.number, state.counter) if full else state, rows, verify)
+        looked = self._first_look(State(state.number, state.counter) if full else state, rows, verify)
+        if state.number and not full:
+            seen_now = {r["action"]: r["notes"] for r in p.plan_counts(looked[0]).collect()}
+            if set(seen_now) <= {"unchanged", "left-out", "kept"} and seen_now and not state.meta.get("skipped"):
+                return SyncResult(True, seen_now | {"renamed": 0}, 0, state.stamp)  # nothing to read, nothing to write
+        plan, chunked = self._plan(rows, looked)
         counts = {r["action"]: r["notes"] for r in p.plan_counts(plan).collect()}
         renamed = p.rename_pairs(plan).count()
         indexed = self.store.read("notes", state).count()
@@ -137,8 +146,7 @@ class Index:
         meta = {"made_with": made_with, "skipped": counts.get("skipped", 0), "counts": counts, "renamed": renamed}
         if content or counts.get("touched") or not state.number or meta != state.meta:
             state = self.store.commit(state, changes, meta, content)
-        keys = [r["path"] for r in rows.where("kind = 'note'").select("path").collect()] if self.exclude else []
-        warnings = [f"{e!r} is set to be left out, but nothing has that name" for e in unmatched(keys, self.root, self.exclude)]
+        warnings = [f"{e!r} is set to be left out, but nothing has that name" for e in unmatched(rows, self.root, self.exclude)]
         return SyncResult(not skipped, counts | {"renamed": renamed}, passages.count(), state.stamp, skipped, warnings)
 
     def _left_out(self, plan: DataFrame, now) -> DataFrame:
@@ -169,7 +177,8 @@ class Index:
         rows = self.listing()
         notes = self.store.read("notes", state)
         if verify:
-            plan, _ = self._plan(state, write_table(rows, "listing"), True)
+            rows = write_table(rows, "listing")
+            plan, _ = self._plan(rows, self._first_look(state, rows, True))
             names = {"added": "new", "updated": "changed", "touched": "unchanged"}
             plan = plan.replace(names, subset=["action"])
         else:

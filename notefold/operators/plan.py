@@ -59,10 +59,11 @@ def shallow_plan(listing: DataFrame, manifest: DataFrame, left_out: DataFrame |
     index. ``manifest``: (path, sha256, size, mtime_ms, racy, fip). ``left_out``: (note_hash,
     reason, size, mtime_ms, racy) of the last run.
     """
-    return _classify(listing, manifest, left_out, shallow=True)
+    return classify(listing, manifest, left_out, shallow=True)
 
 
-def _classify(listing: DataFrame, manifest: DataFrame, left_out: DataFrame | None, shallow: bool) -> DataFrame:
+def classify(listing: DataFrame, manifest: DataFrame, left_out: DataFrame | None, shallow: bool) -> DataFrame:
+    """The rows of both sides with ``action``; by size, date and place, before any bytes are read."""
     notes = folder_flags(listing.where(F.col("reason").isNull())).unionByName(listing.where(F.col("reason").isNotNull()).withColumn("fip", F.lit(None).cast("boolean")))
     # A key that wins in the index isn't also left out: a duplicate file's key is the winner's.
     w = F.min_by(F.struct(*[c for c in notes.columns if c != "path"]), F.coalesce("reason", F.lit("")))
@@ -96,7 +97,7 @@ def full_plan(listing: DataFrame, manifest: DataFrame, left_out: DataFrame | Non
 
     A note below a folder that couldn't be listed is never removed: it is ``skipped``.
     """
-    rows = _classify(listing, manifest, left_out, shallow=False)
+    rows = classify(listing, manifest, left_out, shallow=False)
     same_bytes = (F.col("sha256") == F.col("old_sha256")) & (F.col("fip") == F.col("old_fip"))
     action = F.when(F.col("action") == "changed", F.when(same_bytes, F.when((F.col("size") == F.col("old_size")) & (F.col("mtime_ms") == F.col("old_mtime_ms")), "unchanged").otherwise("touched")).otherwise("updated")).when(F.col("action") == "new", "added").otherwise(F.col("action"))
     rows = rows.withColumn("action", action)

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LISTING = "path STRING, raw STRING, abs STRING, size LONG, mtime_ms LONG, kind STRING, reason STRING"
@@ -116,16 +117,16 @@ def walk(root: str, rel: str, ex: Excludes, forced: str | None = None, deep: boo
             yield _row(root, at, forced or ("excluded" if ex.ours(key) else "obsidian-excluded" if ex.editors(key) else None), "note", stat)
 
 
-@dataclass
 class _Folder(InputPartition):
-    rel: str | None
-    reason: str | None = None
+    """A folder to list, with all below it if ``deep``; ``reason`` holds for everything in it."""
 
-    def __init__(self, rel: str | None, reason: str | None = None):
-        self.rel, self.reason = rel, reason
+    def __init__(self, rel: str, reason: str | None, deep: bool):
+        self.rel, self.reason, self.deep = rel, reason, deep
 
 
 class VaultReader(DataSourceReader):
+    PARTITIONS = 32
+
     def __init__(self, options: dict):
         self.root = os.path.realpath(options["path"])
         self.exclude = json.loads(options.get("exclude", "[]"))
@@ -135,15 +136,17 @@ class VaultReader(DataSourceReader):
         return Excludes.of(self.root, self.exclude, self.filters)
 
     def partitions(self) -> list[InputPartition]:
-        top = [r for r in walk(self.root, "", self._excludes(), deep=False) if r[5] == "folder"]
-        return [_Folder(None), *(_Folder(r[1], r[6]) for r in top)]
+        """Folders from the top down until there are enough to share out; the rest is listed below them."""
+        ex, alone, waiting = self._excludes(), [], [("", None)]
+        while waiting and len(waiting) + len(alone) < self.PARTITIONS:
+            rel, reason = waiting.pop(0)
+            alone.append(_Folder(rel, reason, False))
+            waiting += [(r[1], r[6]) for r in walk(self.root, rel, ex, reason, deep=False) if r[5] == "folder"]
+        return alone + [_Folder(rel, reason, True) for rel, reason in waiting]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
-        ex = self._excludes()
-        if partition.rel is None:
-            yield from (r for r in walk(self.root, "", ex, deep=False) if r[5] != "folder")
-        else:
-            yield from walk(self.root, partition.rel, ex, partition.reason)
+        rows = walk(self.root, partition.rel, self._excludes(), partition.reason, partition.deep)
+        return (r for r in rows if r[5] != "folder")
 
 
 class VaultSource(DataSource):
@@ -170,17 +173,16 @@ def read_listing(spark: SparkSession, root: str, exclude: list[str] | None = Non
     return notes.unionByName(rows.where("kind <> 'note'"))
 
 
-def unmatched(listing_keys: list[str], root: str, exclude: list[str]) -> list[str]:
+def unmatched(listing: DataFrame, root: str, exclude: list[str]) -> list[str]:
     """The exclude entries that hold no folder or note; names that begin with a dot are never missed."""
-    keys = [k.lower() for k in listing_keys]
-    out = []
-    for raw in exclude:
-        e = exclude_key(root, raw).lower()
-        if any(s.startswith(".") for s in e.split("/")):
-            continue
-        if not e or not any(k == e or k.startswith(e + "/") for k in keys):
-            out.append(raw)
-    return out
+    from notefold.operators.plan import under
+
+    keys = {raw: exclude_key(root, raw) for raw in exclude}
+    asked = {raw: k for raw, k in keys.items() if not any(part.startswith(".") for part in k.split("/"))}
+    if not asked:
+        return []
+    hits = listing.agg(*[F.max(under(F.col("path"), F.lit(k))).alias(f"e{i}") for i, k in enumerate(asked.values())]).first()
+    return [raw for i, raw in enumerate(asked) if not hits[f"e{i}"]]
 
 
 def read_bytes(notes: DataFrame) -> DataFrame:

@@ -49,10 +49,22 @@ def test_listing(spark, vault):
         "Hidden by editor/Old.md": "obsidian-excluded", "Secret stuff.md": "obsidian-excluded", "Inner/Note.md": "nested-vault", "Cloud.md": "not-downloaded", "Link.md": "symlink",
     }
     assert rows["pic.png"]["kind"] == "other"
-    assert unmatched(list(notes), vault, ["private", "Nowhere", ".git"]) == ["Nowhere"]
+    listing = read_listing(spark, vault, ["private"])
+    assert unmatched(listing, vault, ["private", "Nowhere", ".git"]) == ["Nowhere"] and unmatched(listing, vault, []) == []
     assert exclude_key("/a/b", "/a/b/C/") == "C" and exclude_key("/a/b", "../x") == "" and exclude_key("/a/b", "./x/") == "x"
 
 
+def test_listing_is_the_same_however_it_is_shared_out(vault):
+    from notefold.sources.vault import VaultReader
+
+    def rows(n):
+        r = VaultReader({"path": vault, "exclude": '["private"]'})
+        r.PARTITIONS = n
+        return sorted((x for p in r.partitions() for x in r.read(p)), key=str)
+
+    assert rows(1) == rows(3) == rows(100) and len(rows(1)) > 10
+
+
 def test_life_of_an_index(spark, vault, tmp_path):
     out = str(tmp_path / "index")
     index = Index.create(spark, vault, out, exclude=["private"], vault="Notes")
@@ -93,6 +105,21 @@ def test_life_of_an_index(spark, vault, tmp_path):
     assert index.sync().counts["updated"] == 1
 
 
+def test_nothing_to_do(spark, tmp_path):
+    root = str(tmp_path / "n")
+    write(root, **{f"N{i}.md": f"words of the note number {i}\n" for i in range(3)}, **{"Off.md": "---\nindex: off\n---\nx\n"})
+    for f in os.listdir(root):
+        os.utime(f"{root}/{f}", (1000, 1000))
+    index = Index.create(spark, root, str(tmp_path / "i"))
+    first = index.sync()
+    second = index.sync()
+    assert second.stamp == first.stamp and second.counts == {"unchanged": 3, "left-out": 1, "renamed": 0}
+    os.remove(f"{root}/N0.md")
+    third = index.sync()
+    assert third.counts["removed"] == 1 and third.stamp != first.stamp
+    assert index.sync(verify=True).counts["unchanged"] == 2
+
+
 def test_stops(spark, tmp_path):
     root, out = str(tmp_path / "n"), str(tmp_path / "i")
     write(root, **{f"N{i}.md": f"words of the note number {i}\n" for i in range(40)})
