@@ -26,15 +26,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from notefold.storage import fresh_path, is_folder
 
-RECORD = "path STRING, gen INT, pos LONG, op STRING, sha256 STRING, size LONG, mtime_ms LONG, title STRING, passages INT"
-COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
-_STATE = RECORD.removeprefix("path STRING, ")
+PAYLOAD = "sha256 STRING, size LONG, mtime_ms LONG, title STRING, passages INT"
+RECORD = f"path STRING, gen INT, pos LONG, op STRING, {PAYLOAD}"
+# In the state and on the way to it the payload is one string, so a key costs few small columns.
+_PACKED = "path STRING, gen INT, pos LONG, op STRING, payload STRING"
+_STATE = _PACKED.removeprefix("path STRING, ")
 
 
 def records(feed: DataFrame) -> DataFrame:
-    """The feed's records that count, with ``op`` in one form."""
+    """The feed's records that count, with ``op`` in one form and the payload packed."""
     op = F.lower(F.regexp_replace("op", r"(?U)^\s+|\s+$", ""))
-    return feed.withColumn("op", op).where(F.col("op").isNotNull() & F.col("path").isNotNull() & F.col("gen").isNotNull() & F.col("pos").isNotNull() & (F.col("op") != "header")).select(*COLUMNS)
+    good = F.col("op").isNotNull() & F.col("path").isNotNull() & F.col("gen").isNotNull() & F.col("pos").isNotNull() & (F.col("op") != "header")
+    payload = F.to_json(F.struct(*[c.split()[0] for c in PAYLOAD.split(", ")]))
+    return feed.withColumn("op", op).where(good).select("path", "gen", "pos", "op", payload.alias("payload"))
+
+
+def unpacked(upserts_: DataFrame) -> DataFrame:
+    return upserts_.withColumn("p", F.from_json("payload", PAYLOAD)).select("path", "gen", "pos", "op", "p.*", *[c for c in upserts_.columns if c not in ("path", "gen", "pos", "op", "payload")])
 
 
 def _newest_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,23 +54,22 @@ def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     old = state.get if state.exists else None
     best = old
     for b in batches:
-        for row in b[COLUMNS[1:]].astype(object).where(b[COLUMNS[1:]].notna(), None).itertuples(index=False, name=None):
-            if best is None or (row[0], row[1]) > (best[0], best[1]):
-                best = row
+        gen, pos, op, payload = (b[c].to_numpy() for c in ("gen", "pos", "op", "payload"))
+        for i in range(len(gen)):  # a row for each Arrow batch before the shuffle
+            if best is None or (gen[i], pos[i]) > (best[0], best[1]):
+                best = (int(gen[i]), int(pos[i]), op[i], payload[i])
     if best is not None and best is not old:
-        ints = {0, 1, 4, 5, 7}
-        best = tuple(int(v) if i in ints and v is not None else v for i, v in enumerate(best))
         state.update(best)
-        yield pd.DataFrame([(*key, *best)], columns=COLUMNS).astype({"size": "Int64", "mtime_ms": "Int64", "passages": "Int32", "gen": "int32"})
+        yield pd.DataFrame({"path": [key[0]], "gen": [best[0]], "pos": [best[1]], "op": [best[2]], "payload": [best[3]]})
 
 
 def upserts(feed: DataFrame) -> DataFrame:
     """The accepted records of a streaming feed, as upserts (tombstones included)."""
     return (
         records(feed)
-        .mapInPandas(_newest_of_batch, RECORD)
+        .mapInPandas(_newest_of_batch, _PACKED)
         .groupBy("path")
-        .applyInPandasWithState(_accept, RECORD, _STATE, "update", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(_accept, _PACKED, _STATE, "update", GroupStateTimeout.NoTimeout)
     )
 
 
@@ -74,7 +81,7 @@ def apply_feed(spark: SparkSession, path: str, files_per_batch: int = 8, root: s
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(where)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        unpacked(batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     query = (
         upserts(feed)
