@@ -93,12 +93,21 @@ def best_notes(notes: DataFrame, count: int) -> DataFrame:
     return notes.orderBy(F.desc(F.round("score", 9)), "path").limit(count).withColumn("rank", F.row_number().over(w))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A result of bounded size (a call's wordings, hits or notes) computed once and kept as a local table."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def fetch_notes(vectors: DataFrame, questions: DataFrame, manifest: DataFrame, count: int, dims: int) -> DataFrame:
-    """The ``count`` best notes. One long note may crowd the first fetch: then four times as much is fetched, once."""
+    """The ``count`` best notes. One long note may crowd the first fetch: then four times as much is fetched, once.
+
+    For the wordings of one call: at most 1,600 hits for each are held.
+    """
     k = max(8 * count, 50)
-    hits = top_k(vectors, questions, k, dims)
-    seen = hits.groupBy("wording").agg(F.count(F.lit(1)).alias("got")).agg(F.max("got")).first()[0] or 0
-    notes = collapse(known(hits, manifest))
-    if notes.limit(count).count() < count and seen >= k:
-        notes = collapse(known(top_k(vectors, questions, 4 * k, dims), manifest))
-    return best_notes(notes, count)
+    for fetch in (k, 4 * k):
+        hits = held(top_k(vectors, questions, fetch, dims))
+        full = hits.groupBy("wording").count().where(F.col("count") >= fetch).limit(1).count() > 0
+        notes = held(collapse(known(hits, manifest)))
+        if not full or notes.count() >= count:
+            break
+    return held(best_notes(notes, count))

@@ -11,7 +11,7 @@ from notefold.functions.links import build_link
 from notefold.functions.screen import mask_secrets
 from notefold.functions.text import snippet
 from notefold.operators.bm25 import bm25, exact_words, interleaved, not_already_shown, wordings_table
-from notefold.operators.cosine import clamp_count, fetch_notes
+from notefold.operators.cosine import clamp_count, fetch_notes, held
 
 log = logging.getLogger(__name__)
 
@@ -56,8 +56,8 @@ def search(passages: DataFrame, vectors: DataFrame, manifest: DataFrame, post: D
     if not with_exact:
         return meaning, None
     try:
-        asked = wordings_table(passages.sparkSession, questions)
-        hits = interleaved(exact_words(bm25(post, lengths, asked), passages, asked))
+        asked = held(wordings_table(passages.sparkSession, questions))
+        hits = held(interleaved(exact_words(bm25(post, lengths, asked), passages, asked)))  # at most three a wording
         left = not_already_shown(hits, notes).select("rank", "path", "n", "score", "words")
         return meaning, shape(left, passages, root, vault).withColumn("score", half_up(F.col("score"), 2))
     except Exception as e:  # the list by meaning stands without it

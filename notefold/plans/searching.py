@@ -72,7 +72,7 @@ def questions_read(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     live = passages(spark, d)
-    asked = b.wordings_table(spark, QUESTIONS)
+    asked = c.held(b.wordings_table(spark, QUESTIONS))
     words = sorted({w for r in asked.select("words").collect() for w in r["words"]})  # of one call's questions
     return b.bm25(p.postings(live, words), p.doc_lengths(live), asked), live, asked
 
