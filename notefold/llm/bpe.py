@@ -7,8 +7,10 @@ on until no word has a pair to merge; an ordered aggregation gives the ids. Sinc
 repeats its words, a worker's cache answers nearly all of them afterwards. Nothing is shuffled:
 each partition is encoded where it is read, so the work splits as the input does.
 
-A long word would make many rounds; the query contracts all places of the word's least pair that
-don't overlap in one round, from the left, which gives the same ids as one place at a time.
+The query contracts all places of a word's least pair that don't overlap in one round, from the
+left, which gives the same ids as one place at a time. Unbroken runs of more than ``LONGEST`` bytes,
+which no language writes, would still make thousands of rounds: for them the same contraction is
+done with a heap of pairs, to the same ids.
 
 Defined results: a null or an empty text has the empty list; the names of special tokens are
 ordinary text; lone surrogates can't occur in Spark's strings; any length of text is encoded
@@ -19,6 +21,7 @@ The vocabulary file's path is a parameter; it must be readable at that path on e
 
 from __future__ import annotations
 
+import heapq
 import json
 from array import array
 from collections.abc import Iterator
@@ -32,6 +35,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_CACHED = 400_000
 WORDS_A_QUERY = 20_000
+LONGEST = 2_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -57,6 +61,7 @@ class Encoder:
         self.byte_ids = [ids[letters[b]] for b in range(256)]
         self.find = regex.compile(PATTERN).findall
         self.cache: dict[str, array] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, int]] | None = None
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         table = pa.table(
             {
@@ -97,8 +102,39 @@ WITH RECURSIVE step(word, pos, tok, more) AS (
 SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT more GROUP BY word
 """
 
+    def contract(self, tokens: list[int]) -> list[int]:
+        """The contraction of one long run: pairs wait in a heap by rank and place."""
+        if self.pairs is None:
+            rows = self.db.sql("SELECT l, r, rank, made FROM merges").fetchall()
+            self.pairs = {(a, b): (rank, made) for a, b, rank, made in rows}
+        n = len(tokens)
+        left, right, alive = [*range(-1, n - 1)], [*range(1, n + 1)], [True] * n
+        waiting = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and right[i] < n and (m := self.pairs.get((tokens[i], tokens[right[i]]))):
+                heapq.heappush(waiting, (m[0], i, tokens[i], tokens[right[i]], m[1]))
+
+        for i in range(n):
+            offer(i)
+        while waiting:
+            _, i, a, b, made = heapq.heappop(waiting)
+            j = right[i]
+            if not alive[i] or j >= n or tokens[i] != a or tokens[j] != b:
+                continue  # one of the two is something else by now
+            tokens[i], alive[j], right[i] = made, False, right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            offer(left[i])
+            offer(i)
+        return [t for t, a in zip(tokens, alive) if a]
+
     def learn(self, words: list[str]) -> None:
         """Encode words that aren't in the cache."""
+        for w in words:
+            if len(w) > LONGEST // 4 and len(w.encode("utf-8")) > LONGEST:
+                self.cache[w] = array("i", self.contract([self.byte_ids[b] for b in w.encode("utf-8")]))
+        words = [w for w in words if w not in self.cache]
         for i in range(0, len(words), WORDS_A_QUERY):
             some = words[i : i + WORDS_A_QUERY]
             raw = [w.encode("utf-8") for w in some]

@@ -33,6 +33,14 @@ def test_any_text(texts):
     assert bpe.encode_texts(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_runs(public):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh", k=20_000)), "a" * 9_999, "北京是" * 3_000, "".join(rng.choices("!?*", k=5_000)), "ab" * 1_001, "x" * 2_000]
+    assert bpe.encode_texts(texts) == public(texts)
+
+
 def test_round_trip_and_cache_limit(monkeypatch):
     import json
 
