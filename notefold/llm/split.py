@@ -3,8 +3,9 @@
 Balanced targets: the least number of pieces that could do is computed, that many equal targets
 are laid over the text, each target is snapped to the strongest boundary near it (paragraph, line,
 sentence, clause, word, inside a word as the last resort), and the number of pieces rises by one
-as long as any piece breaks the limit. All of one passage is done in one row's call: passages are
-bounded by what a note's section holds, and each is independent, so this is a map without shuffle.
+as long as any piece, with its overlap, breaks the limit. All of one passage is done in one row's
+call: passages are bounded by what a note's section holds, and each is independent, so this is a
+map without shuffle.
 
 Sizes are those of the stand-in counter: 1 for a punctuation mark or symbol, ceil(units / 6) for
 every other run. Which passages are too large is found by JVM expressions before any text is
@@ -121,10 +122,12 @@ def split_text(text: str, room: int, overlap: int = OVERLAP) -> list[tuple[int,
             begin = _overlap_start(text, pieces[-1][0], pieces[-1][1], most) if pieces else a
             begin = begin if pieces and begin < pieces[-1][1] else a
             if size_of(text[begin:end]) > room:
-                begin = a  # one long line of marks may sum up differently; the overlap goes first
-                if size_of(text[begin:end]) > room:
-                    ok = False
+                ok = False  # with its overlap; more pieces are tried before an overlap is given up
+                if k < len(atoms):
                     break
+                begin = a
+            if pieces and begin <= pieces[-1][0]:
+                pieces.pop()  # this one holds the whole of it
             pieces.append((begin, end))
         if ok or k == len(atoms):
             return pieces

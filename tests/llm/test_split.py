@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,6 +51,30 @@ def test_cuts_lie_at_the_strongest_boundary():
     assert text[end : end + 2] == "\n\n"
 
 
+def check_overlaps(text: str, room: int) -> list[tuple[int, int]]:
+    """Every piece after the first begins with as many whole words of the one before as are allowed."""
+    pieces, most = check(text, room), min(12, room // 4)
+    for (a, b), (c, _) in zip(pieces, pieces[1:]):
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text) if m.start() >= a and m.start() < b]
+        start = b
+        for s, e in reversed(words):
+            if e > b or size_of(text[s:b]) > most:
+                break
+            start = s
+        assert c == start or start == b and c >= b and not text[b:c].strip(), (text[a:b], text[c : c + 40])
+    return pieces
+
+
+def test_an_overlap_that_does_not_fit_adds_a_piece():
+    assert len(check_overlaps(" ".join(["word"] * 180), 100)) == 3
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(WORDS, min_size=40, max_size=200), st.integers(8, 97))
+def test_overlaps_are_never_left_out(words, room):
+    check_overlaps(" ".join(words), room)
+
+
 def test_a_word_without_boundaries_is_cut():
     assert len(check("x" * 5000, 8)) > 100
     assert len(check("北" * 700, 20)) > 5
