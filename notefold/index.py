@@ -17,7 +17,7 @@ from notefold.operators import plan as p
 from notefold.operators.chunking import chunk_notes, embed_passages, explode_passages
 from notefold.operators.postings import doc_lengths, postings
 from notefold.operators.search import search as two_lists
-from notefold.operators.status import StatusInput, passage_ids, status_checks
+from notefold.operators.status import StatusInput, VerifyInput, not_listed, passage_ids, status_checks, verify_checks
 from notefold.session import ship
 from notefold.sources.vault import read_bytes, read_listing, unmatched
 from notefold.storage import write_table
@@ -178,17 +178,25 @@ class Index:
         notes = self.store.read("notes", state)
         if verify:
             rows = write_table(rows, "listing")
-            plan, _ = self._plan(rows, self._first_look(state, rows, True))
+            plan, chunked = self._plan(rows, self._first_look(state, rows, True))
             names = {"added": "new", "updated": "changed", "touched": "unchanged"}
             plan = plan.replace(names, subset=["action"])
         else:
             plan = p.shallow_plan(rows.where("kind = 'note'").select("path", "size", "mtime_ms", "reason"), notes.select("path", "sha256", "size", "mtime_ms", "racy", "fip"), self.store.read("left_out", state))
+        recorded = notes.select("path", "passages")
+        passages, vectors, words, lengths = (self.store.read(t, state) for t in ("passages", "vectors", "postings", "lengths"))
+        stamps = {"index": state.built.get("passages"), "vectors": state.built.get("vectors"), "postings": state.built.get("postings")}
         given = StatusInput(
-            plan, notes.select("path", "passages"), self.store.read("vectors", state), self.store.read("lengths", state),
-            skipped_last_run=state.meta.get("skipped", 0), stamps=dict.fromkeys(("index", "vectors", "postings"), state.stamp),
+            plan, recorded, vectors, lengths, dead_records=not_listed(recorded, passages, vectors, words, lengths),
+            skipped_last_run=state.meta.get("skipped", 0), stamps={k: f"{state.number}:{c}" for k, c in stamps.items()},
             versions_match=state.meta.get("made_with") == self._versions(),
         )
-        return status_checks(self.spark, given, passage_ids(notes))
+        checks = status_checks(self.spark, given, passage_ids(notes))
+        if not verify:
+            return checks
+        same = plan.where("action = 'unchanged'").select("path")
+        fresh = explode_passages(chunked.join(same, "path", "left_semi"))
+        return checks.unionByName(verify_checks(self.spark, VerifyInput(recorded, passages, vectors, words, lengths, fresh, self.make)))
 
     def rebuild(self, full: bool = False) -> SyncResult | State:
         """Make the derived tables again from the passages kept, or everything from the notes."""

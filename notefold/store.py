@@ -36,6 +36,7 @@ class State:
     counter: int = 0  # rises only when passages change
     tables: dict[str, dict[str, str]] = field(default_factory=lambda: {t: {} for t in TABLES})
     meta: dict = field(default_factory=dict)
+    built: dict[str, int] = field(default_factory=dict)  # for each table the counter of the passages it was last written for
 
     @property
     def stamp(self) -> str:
@@ -62,7 +63,7 @@ class Store:
         d = json.loads(self.files.read(f"{self.root}/_versions/{names[-1]}"))
         if d["schema"] > SCHEMA_VERSION:
             raise NewerIndex(f"the index has version {d['schema']}")
-        return State(d["number"], d["counter"], d["tables"], d["meta"])
+        return State(d["number"], d["counter"], d["tables"], d["meta"], d.get("built", dict.fromkeys(TABLES, d["counter"])))
 
     def read(self, table: str, state: State | None = None, buckets: set[str] | None = None) -> DataFrame:
         held = (state or self.state()).tables[table]
@@ -93,7 +94,8 @@ class Store:
                 tables[table].pop(b, None)
             tables[table] |= {b: f"{name}/{table}/bucket={b}" for b in written}
         new = State(base.number + 1, base.counter + int(content_changed), tables, meta)
-        text = json.dumps({"schema": SCHEMA_VERSION, "number": new.number, "counter": new.counter, "tables": tables, "meta": meta})
+        new.built = base.built | dict.fromkeys(changes, new.counter)
+        text = json.dumps({"schema": SCHEMA_VERSION, "number": new.number, "counter": new.counter, "tables": tables, "meta": meta, "built": new.built})
         try:
             self.files.write_new(f"{self.root}/_versions/{new.number:010d}.json", text)
         except Exception as e:

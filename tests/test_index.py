@@ -105,6 +105,41 @@ def test_life_of_an_index(spark, vault, tmp_path):
     assert index.sync().counts["updated"] == 1
 
 
+def test_status_sees_what_counts_do_not_show(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from notefold.store import Change
+
+    root, out = str(tmp_path / "n"), str(tmp_path / "i")
+    write(root, **{"A.md": "apples ripen slowly in autumn\n", "B.md": "boats drift gently in harbours\n"})
+    index = Index.create(spark, root, out)
+    index.sync()
+    store, good = index.store, index.store.state()
+
+    def failing(table, rows, verify=True, content=False):
+        base = store.state()
+        gone = store.read(table, base).select("path").distinct()
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+        kept = spark.createDataFrame(store.read(table, base).collect(), store.read(table, base).schema)
+        store.commit(base, {table: Change(gone, rows)}, good.meta, content)
+        bad = {r["name"] for r in index.status(verify).collect() if not r["ok"]}
+        store.commit(store.state(), {t: Change(store.read(t).select("path").distinct().union(rows.select("path")), kept if t == table else store.read(t)) for t in store.state().tables}, good.meta, False)
+        return bad
+
+    assert len({r["name"] for r in index.status(True).collect() if r["ok"]}) == 13
+    other = F.when(F.col("path") == "A.md", "B.md").otherwise("A.md")
+    read = store.read
+    assert failing("vectors", read("vectors").withColumn("path", other)) == {"verify-spot-check"}
+    assert failing("postings", read("postings").withColumn("path", other)) == {"verify-exact-words"}
+    assert failing("lengths", read("lengths").withColumn("doc_len", F.col("doc_len") + 1)) == {"verify-exact-words"}
+    assert {"verify-sidecar", "verify-exact-words"} <= failing("passages", read("passages").withColumn("path", other))
+    twice = read("lengths").withColumn("path", F.lit("A.md"))
+    assert failing("lengths", twice, verify=False) == {"exact-words-match"}  # as many in all, but not note for note
+    gone = read("postings").union(read("postings").withColumn("path", F.lit("Gone.md")))
+    assert failing("postings", gone, verify=False) == {"no-old-text"}
+    assert failing("passages", read("passages"), verify=False, content=True) == {"vectors-current", "exact-words-match"}
+
+
 def test_nothing_to_do(spark, tmp_path):
     root = str(tmp_path / "n")
     write(root, **{f"N{i}.md": f"words of the note number {i}\n" for i in range(3)}, **{"Off.md": "---\nindex: off\n---\nx\n"})
