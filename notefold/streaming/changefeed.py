@@ -2,75 +2,45 @@
 
 A keyed streaming state holds, for each key, the payload and the sequence of the last record that
 counted; a delete stays as a tombstone, so that an older put that comes late can't bring the key
-back. Only a record with a greater sequence than the state's is accepted and emitted as an upsert.
-Each micro-batch's upserts replace the folder of that batch's number: a batch that is repeated
-after a failure writes the same rows to the same place.
+back. Only a record with a greater sequence replaces the state's: the state is the greatest
+(sequence, op, payload), kept by the engine's own stateful aggregation, so no record leaves the JVM.
+Each micro-batch hands on the state of the keys it touched, as upserts (of a key that saw nothing
+newer the same row again), and they replace the folder of that batch's number: a batch that is
+repeated after a failure writes the same rows to the same place.
 
-Before the shuffle by key every Arrow batch is reduced to the newest record of each key, so a key
-with a third of all records sends a row per batch, not all its records, to its one task.
+The aggregate is partial before the shuffle: a key with a third of all records sends a row from
+each task that read some of it, not its records, to the one task that holds its state.
 
 Defined results: records without op, key or sequence and ``header`` records change nothing; op is
-read without case and outer blanks; of records with equal sequence the first accepted counts (a
-repeated record is the same record); an op that is neither ``put`` nor ``del`` is the key's last
-record all the same and the key isn't live; extra columns are ignored; an empty feed has no rows.
+read without case and outer blanks; a repeated record is the same record; of different records
+with one sequence the greater (op, payload) counts, in whatever order they come; an op that is
+neither ``put`` nor ``del`` is the key's last record all the same and the key isn't live; extra
+columns are ignored; an empty feed has no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from notefold.storage import fresh_path, is_folder
 
 PAYLOAD = "sha256 STRING, size LONG, mtime_ms LONG, title STRING, passages INT"
 RECORD = f"path STRING, gen INT, pos LONG, op STRING, {PAYLOAD}"
-# In the state and on the way to it the payload is one string, so a key costs few small columns.
-_PACKED = "path STRING, gen INT, pos LONG, op STRING, payload STRING"
-_STATE = _PACKED.removeprefix("path STRING, ")
+_PAYLOAD = [c.split()[0] for c in PAYLOAD.split(", ")]
 
 
 def records(feed: DataFrame) -> DataFrame:
-    """The feed's records that count, with ``op`` in one form and the payload packed."""
+    """The feed's records that count, with ``op`` in one form."""
     op = F.lower(F.regexp_replace("op", r"(?U)^\s+|\s+$", ""))
     good = F.col("op").isNotNull() & F.col("path").isNotNull() & F.col("gen").isNotNull() & F.col("pos").isNotNull() & (F.col("op") != "header")
-    payload = F.to_json(F.struct(*[c.split()[0] for c in PAYLOAD.split(", ")]))
-    return feed.withColumn("op", op).where(good).select("path", "gen", "pos", "op", payload.alias("payload"))
-
-
-def unpacked(upserts_: DataFrame) -> DataFrame:
-    return upserts_.withColumn("p", F.from_json("payload", PAYLOAD)).select("path", "gen", "pos", "op", "p.*", *[c for c in upserts_.columns if c not in ("path", "gen", "pos", "op", "payload")])
-
-
-def _newest_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield b.sort_values(["gen", "pos"], kind="stable").drop_duplicates("path", keep="last")
-
-
-def _accept(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    old = state.get if state.exists else None
-    best = old
-    for b in batches:
-        gen, pos, op, payload = (b[c].to_numpy() for c in ("gen", "pos", "op", "payload"))
-        for i in range(len(gen)):  # a row for each Arrow batch before the shuffle
-            if best is None or (gen[i], pos[i]) > (best[0], best[1]):
-                best = (int(gen[i]), int(pos[i]), op[i], payload[i])
-    if best is not None and best is not old:
-        state.update(best)
-        yield pd.DataFrame({"path": [key[0]], "gen": [best[0]], "pos": [best[1]], "op": [best[2]], "payload": [best[3]]})
+    return feed.withColumn("op", op).where(good).select("path", "gen", "pos", "op", *_PAYLOAD)
 
 
 def upserts(feed: DataFrame) -> DataFrame:
-    """The accepted records of a streaming feed, as upserts (tombstones included)."""
-    return (
-        records(feed)
-        .mapInPandas(_newest_of_batch, _PACKED)
-        .groupBy("path")
-        .applyInPandasWithState(_accept, _PACKED, _STATE, "update", GroupStateTimeout.NoTimeout)
-    )
+    """The state of each key that a batch of the feed touched (tombstones included); for update mode."""
+    newest = F.max(F.struct("gen", "pos", "op", *_PAYLOAD)).alias("m")
+    return records(feed).groupBy("path").agg(newest).select("path", "m.*")
 
 
 def apply_feed(spark: SparkSession, path: str, files_per_batch: int = 8, root: str | None = None) -> DataFrame:
@@ -81,7 +51,7 @@ def apply_feed(spark: SparkSession, path: str, files_per_batch: int = 8, root: s
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(where)
 
     def write(batch: DataFrame, number: int) -> None:
-        unpacked(batch).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     query = (
         upserts(feed)
