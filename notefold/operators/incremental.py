@@ -1,15 +1,23 @@
 """Processing only new or changed records: the target is the state.
 
-Every output row stores the source's key and the version it was made from. A run reads the source
-rows that arrived since the last published run, reduces them to the newest row of each key,
-anti-joins them on (key, version) against the rows already in the target, and publishes what is
-left as one new version of the target. A run that breaks off before it publishes has no effect:
-the next run starts from the last published version, so nothing is skipped and nothing repeated.
-
-Defined results: rows without key, fingerprint, version or arrival change nothing; repeated and
-late rows lose to the newest (version columns, then the greater fingerprint); a newer row with the
-same fingerprint moves the stored version on but isn't put out as changed; extra columns of the
-source are ignored; an empty source publishes a version without rows.
+Every output row stores the source's key and the version it was made from (the fingerprint of the
+record's bytes). A run reduces what the source shows it to the newest record of each key,
+anti-joins that on (key, version) with the target's current rows, and publishes what is left as one
+new version of the target. There is no mark of how far earlier runs had read: what is in the target
+decides alone. So a record that becomes visible late is taken up by the next run, however old its
+arrival date; a run that breaks off before it publishes has no effect; nothing is skipped and
+nothing repeated, and results don't depend on where one run ends and the next begins.
+
+The source is read in five columns, reduced in each task before any shuffle (a hot key sends a row
+per task), and records that arrived after the run's start are left out by the scan. A source that
+lies in buckets of the key isn't shuffled at all: where many runs read one source, it is laid out
+that way once. The target's current rows are one base segment and at most ``compact_after`` deltas.
+
+Defined results: records without key, fingerprint, version or arrival change nothing; repeated and
+late records lose to the newest (version columns, then the greater fingerprint); a newer record with
+the same fingerprint isn't new; a key whose newest record is no longer in the source is put out
+again if its newest record there has another fingerprint; extra columns of the source are ignored;
+an empty source publishes a version without rows.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notefold.storage import Version, VersionedTarget, fresh_path
+from notefold.storage import Version, VersionedTarget, clustered_table, fresh_path
 
 TARGET = T.StructType(
     [
@@ -29,7 +37,7 @@ TARGET = T.StructType(
         T.StructField("seen_ms", T.LongType()),
         T.StructField("scan_id", T.LongType()),
         T.StructField("run_id", T.IntegerType()),
-        T.StructField("changed", T.BooleanType()),
+        T.StructField("number", T.LongType()),  # the target's version that the row was published with
     ]
 )
 
@@ -40,33 +48,24 @@ class Run:
     until_ms: int
 
 
-def _newest(rows: DataFrame) -> DataFrame:
-    """The newest row of each path; the partial aggregate keeps a hot path to a row per task."""
-    return rows.groupBy("path").agg(F.max(F.struct("seen_ms", "scan_id", "sha256")).alias("m"))
+def visible(source: DataFrame, until_ms: int) -> DataFrame:
+    """The newest record of each key among those that had arrived."""
+    here = (F.col("arrived_ms") <= until_ms) & F.col("sha256").isNotNull() & F.col("path").isNotNull() & F.col("seen_ms").isNotNull()
+    return source.where(here).groupBy("path").agg(F.max(F.struct("seen_ms", "scan_id", "sha256")).alias("m")).select("path", "m.*")
+
+
+def current(rows: DataFrame, *columns: str) -> DataFrame:
+    """Of rows of several published versions the last of each key."""
+    columns = columns or tuple(c for c in TARGET.names if c not in ("path", "number"))
+    return rows.groupBy("path").agg(F.max(F.struct("number", *columns)).alias("m")).select("path", "m.*")
 
 
 def pending(source: DataFrame, target: VersionedTarget, base: Version, run: Run) -> DataFrame:
     """What a run has to do: rows of the target's schema for keys whose newest version isn't in it."""
-    since = base.meta.get("until_ms")
-    seen = F.col("arrived_ms") <= run.until_ms
-    if since is not None:  # every row up to there is in the target or lost to one that is
-        seen = seen & (F.col("arrived_ms") > since)
-    rows = source.where(seen & F.col("sha256").isNotNull() & F.col("path").isNotNull() & F.col("seen_ms").isNotNull())
-    new = _newest(rows)
-    old = _newest(target.state(base)).select("path", F.col("m").alias("o"))
-    version = lambda c: F.struct(f"{c}.seen_ms", f"{c}.scan_id")
-    return (
-        new.join(old, "path", "left")
-        .where(F.col("o").isNull() | (version("m") > version("o")))
-        .select(
-            "path",
-            "m.sha256",
-            "m.seen_ms",
-            "m.scan_id",
-            F.lit(run.run_id).cast("int").alias("run_id"),
-            (F.col("o").isNull() | (F.col("m.sha256") != F.col("o.sha256"))).alias("changed"),
-        )
-    )
+    new = visible(source, run.until_ms)
+    if base.state:
+        new = new.join(current(target.state(base), "sha256").select("path", "sha256"), ["path", "sha256"], "left_anti")
+    return new.withColumn("run_id", F.lit(run.run_id).cast("int")).withColumn("number", F.lit(base.number + 1).cast("long"))
 
 
 def run_once(source: DataFrame, target: VersionedTarget, run: Run, compact_after: int = 8, fail_before_publish: bool = False) -> Version:
@@ -78,9 +77,8 @@ def run_once(source: DataFrame, target: VersionedTarget, run: Run, compact_after
     if fail_before_publish:
         raise RuntimeError("broke off before publishing")
     state = (*base.state, segment)
-    if len(state) > compact_after:  # the state is rewritten now and then, so a run reads few segments
-        merged = _newest(target._read(state)).select("path", "m.sha256", "m.seen_ms", "m.scan_id", F.lit(None).cast("int").alias("run_id"), F.lit(False).alias("changed"))
-        state = (target.write_segment(merged, "state"),)
+    if len(state) > compact_after:  # the deltas are merged now and then, so a run reads few segments
+        state = (target.write_segment(current(target._read(state)), "state"),)
     return target.publish(base, state, (*base.outputs, segment), {"until_ms": run.until_ms, "run_id": run.run_id})
 
 
@@ -91,7 +89,8 @@ def replay(spark: SparkSession, source: DataFrame, runs: DataFrame, root: str |
     is control data of a few rows, read to the driver; the records never are.
     """
     target = VersionedTarget(spark, root or fresh_path(spark, "incremental"), TARGET)
+    source = clustered_table(source.select("path", "sha256", "seen_ms", "scan_id", "arrived_ms"), "path", "scans")
     good = runs.where((F.col("status") == "ok") & F.col("started_ms").isNotNull()).select("run_id", "started_ms").distinct()
     for r in sorted(good.collect(), key=lambda r: (r["started_ms"], r["run_id"])):
         run_once(source, target, Run(r["run_id"], r["started_ms"]))
-    return target.outputs().where("changed").select("run_id", "path")
+    return target.outputs().select("run_id", "path")

@@ -24,18 +24,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p7_found": p7_found}
 
 ORACLES = {
+    # A note's fingerprint changes only at the first run that sees a row, so the runs are windowed instead of joined.
     "p1_found": """
-WITH ok AS (SELECT run_id, started_ms, lag(run_id) OVER (ORDER BY started_ms, run_id) AS before
-            FROM sync_runs WHERE status = 'ok'),
-fp AS (SELECT run_id, path, sha256 FROM (
-         SELECT o.run_id, s.path, s.sha256,
-                row_number() OVER (PARTITION BY o.run_id, s.path ORDER BY s.seen_ms DESC, s.scan_id DESC) AS k
-         FROM ok o JOIN note_scans s ON s.arrived_ms <= o.started_ms
-         WHERE s.sha256 IS NOT NULL) WHERE k = 1)
-SELECT o.run_id, n.path
-FROM ok o JOIN fp n ON n.run_id = o.run_id
-LEFT JOIN fp p ON p.run_id = o.before AND p.path = n.path
-WHERE p.sha256 IS NULL OR p.sha256 <> n.sha256""",
+WITH ok AS (SELECT run_id, started_ms, row_number() OVER (ORDER BY started_ms, run_id) AS i
+            FROM (SELECT DISTINCT run_id, started_ms FROM sync_runs WHERE status = 'ok' AND started_ms IS NOT NULL)),
+s AS (SELECT path, struct_pack(t := seen_ms, k := coalesce(scan_id, -1), h := sha256) AS v,
+             (SELECT min(i) FROM ok WHERE started_ms >= arrived_ms) AS i
+      FROM note_scans WHERE path IS NOT NULL AND sha256 IS NOT NULL AND seen_ms IS NOT NULL),
+b AS (SELECT path, i, max(v) AS v FROM s WHERE i IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT path, i, (max(v) OVER (PARTITION BY path ORDER BY i)).h AS h FROM b),
+d AS (SELECT path, i, h, lag(h) OVER (PARTITION BY path ORDER BY i) AS before FROM c)
+SELECT run_id, path FROM d JOIN ok USING (i) WHERE before IS NULL OR before <> h""",
     "p3_found": """
 WITH last AS (SELECT snapshot_no, max(delivery_no) AS delivery_no FROM note_snapshots GROUP BY 1),
 idx AS (SELECT *, row_number() OVER (ORDER BY snapshot_no) AS i FROM last),

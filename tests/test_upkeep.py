@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from notefold.operators.incremental import TARGET, Run, replay, run_once
+from notefold.operators.incremental import TARGET, Run, current, replay, run_once
 from notefold.operators.snapshots import snapshot_changes
 from notefold.storage import VersionedTarget
 from notefold.streaming.changefeed import apply_feed, live
@@ -65,6 +65,28 @@ def test_broken_run_is_made_up_for(spark, tmp_path):
     assert len(target.vacuum()) == 1  # what the broken run left
 
 
+def test_a_record_that_becomes_visible_late_is_not_skipped(spark, tmp_path):
+    """It arrived, by its date, before the last run, but the source didn't show it then."""
+    target = VersionedTarget(spark, f"file://{tmp_path}/t", TARGET)
+    rows = [(1, "a", "x", 1, 1, ""), (2, "b", "x", 2, 2, "")]
+    run_once(spark.createDataFrame(rows, SCAN), target, Run(1, 10))
+    rows += [(3, "late", "y", 3, 3, ""), (4, "b", "z", 4, 4, ""), (5, "a", "x", 9, 9, ""), (0, "b", "old", 0, 0, "")]
+    run_once(spark.createDataFrame(rows, SCAN), target, Run(2, 20))
+    assert {(r["run_id"], r["path"], r["sha256"]) for r in target.outputs().where("run_id = 2").collect()} == {(2, "late", "y"), (2, "b", "z")}
+    run_once(spark.createDataFrame(rows, SCAN), target, Run(3, 30))
+    assert target.outputs().where("run_id = 3").count() == 0
+
+
+def test_results_do_not_depend_on_run_boundaries(spark, tmp_path):
+    """Equal versions with other fingerprints: the greater counts, within a run and between runs."""
+    rows = [(1, "a", "m", 5, 1, ""), (1, "a", "z", 5, 2, "")]
+    for name, ends in (("one", [3]), ("two", [1, 3])):
+        target = VersionedTarget(spark, f"file://{tmp_path}/{name}", TARGET)
+        for k, until in enumerate(ends):
+            run_once(spark.createDataFrame(rows, SCAN), target, Run(k, until))
+        assert current(target.state()).first()["sha256"] == "z"
+
+
 def test_of_two_writers_one_publishes(spark, tmp_path):
     target = VersionedTarget(spark, f"file://{tmp_path}/t", TARGET)
     base = target.current()
