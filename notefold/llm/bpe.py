@@ -62,7 +62,7 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         self.cache: dict[str, array] = {}
         self.pairs: dict[tuple[int, int], tuple[int, int]] | None = None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})  # a query is small: nothing may spill to a worker's own disk
         table = pa.table(
             {
                 "l": pa.array([ids[a] for a, _ in merges], pa.int32()),
