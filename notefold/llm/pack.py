@@ -12,6 +12,7 @@ and its rest is packed as an item.
 
 Defined results: a null size counts as 0; items of size 0 take no room but are assigned; repeated
 ids are items of their own; equal sizes go in the order of their ids; an empty table gives no rows.
+Items' groups follow from their ids, sizes and repeats, not from the layout of the input.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from notefold.storage import write_table
 CAPACITY = 4096
 GROUP_TOKENS = 500_000
 ITEM_WEIGHT = 32
+REPEATS = 10_000  # of an item in one array
 
 ASSIGNED = "item LONG, part INT, parts INT, start LONG, size LONG, grp LONG, win INT"
 
@@ -113,15 +115,22 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     sums = items.agg(F.sum("all").alias("tokens"), F.count(F.lit(1)).alias("items")).first()
     # Items count as well as tokens, so that many small or empty ones aren't one group.
     groups = max(1, -(-((sums["tokens"] or 0) + ITEM_WEIGHT * sums["items"]) // group_tokens))
+    # Repeats of an item are numbered by their count, so that a group hangs on what its items are and
+    # not on where they lay: a stage that runs again deals them as before.
+    many = F.lit(REPEATS).cast("long")
+    counted = items.groupBy("item", "all").agg(F.count(F.lit(1)).alias("times"))
+    counted = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / many))))
+    last = F.least(many, F.col("times") - F.col("block") * many) - 1
+    counted = counted.select("item", "all", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k")).withColumn("nth", F.col("block") * many + F.col("k"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("all") / F.lit(capacity))).cast("int")
-    rows = items.select("item", "all", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = counted.select("item", "all", "nth", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     rows = rows.select(
         "item",
         "part",
         "parts",
         (F.col("part") * F.lit(capacity).cast("long")).alias("start"),
         F.least(F.lit(capacity).cast("long"), F.col("all") - F.col("part") * F.lit(capacity).cast("long")).alias("size"),
-        F.pmod(F.xxhash64("item", "part", F.monotonically_increasing_id()), F.lit(groups)).alias("grp"),
+        F.pmod(F.xxhash64("item", "all", "nth", "part"), F.lit(groups)).alias("grp"),
     )
     return rows.groupBy("grp").applyInArrow(_pack_group(capacity), ASSIGNED)
 
@@ -129,3 +138,14 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
 def pack_documents(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """As ``pack``, of (doc_id, tokens); the sizes are written once, since they cost an encoding each."""
     return pack(write_table(sizes, "sizes"), "doc_id", "tokens", capacity)
+
+
+def windows_report(assigned: DataFrame) -> DataFrame:
+    """(grp, win, items, fill): what each window holds."""
+    return assigned.groupBy("grp", "win").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("fill"))
+
+
+def cut_items(assigned: DataFrame) -> DataFrame:
+    """(item) of each item that lies in more than one window."""
+    where = F.struct("grp", "win")
+    return assigned.groupBy("item").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("item")
