@@ -165,3 +165,46 @@ def split_oversized(stored: DataFrame, window: int = WINDOW, overlap: int = OVER
     keep = lambda c: F.when(F.col("large"), F.col(c)).alias(c)  # noqa: E731  # only what is to be split is shuffled
     live = live_passages(rows, "room", "large", keep("trail"), keep("line"), keep("text")).where("large")
     return live.drop("large").mapInArrow(_split_batches(overlap), PIECES)
+
+
+def checked_pieces(stored: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """(path, n, all_fit, nothing_lost, overlaps, lines_right) of each passage that was cut, told from its text alone.
+
+    The pieces of one passage are put side by side: as many as its text is long, never more.
+    """
+    pieces = split_oversized(stored, window, overlap).groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "line", "text"))).alias("p"))
+    room = room_of(F.col("title"), F.col("trail"), window)
+    whole = live_passages(stored.withColumn("room", room), "room", "text", F.col("line").alias("at")).select("path", "n", "room", "text", "at")
+    rows = pieces.join(whole, ["path", "n"]).withColumn("most", F.least(F.lit(overlap), F.floor(F.col("room") / 4)))
+    text = F.col("text")
+    blank = lambda c: F.rlike(c, F.lit(f"^[{WHITE}]*$"))
+    end = lambda x: x["start"] + F.length(x["text"])
+    between = lambda a, b: F.substr(text, a + 1, b - a)
+    pairs = F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda a, i: F.struct(a.alias("a"), F.element_at("p", i + 2).alias("b")))
+    last = F.element_at("p", -1)
+
+    def joined(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        return F.when(b["start"] <= end(a), (b["start"] > a["start"]) & (end(b) > end(a))).otherwise(blank(between(end(a), b["start"])))
+
+    def overlapped(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        word = F.regexp_extract(a["text"], f"[^{WHITE}]+$", 0)
+        in_word = ~blank(F.substr(text, end(a) + 1, F.lit(1))) & (end(a) < F.length(text)) & (word != "")
+        cut_off = (word == a["text"]) & (a["start"] > 0) & ~blank(F.substr(text, a["start"], F.lit(1)))
+        none = in_word | cut_off | (word == "") | (stand_in_size(word) > F.col("most"))
+        begins = (b["start"] == 0) | blank(F.substr(text, b["start"], F.lit(1)))
+        return F.when(b["start"] < end(a), begins & (stand_in_size(between(b["start"], end(a))) <= F.col("most"))).otherwise(none)
+
+    def lined(x: Column) -> Column:
+        before = between(F.lit(0), x["start"])
+        return x["line"].eqNullSafe(F.col("at") + F.length(before) - F.length(F.replace(before, F.lit("\n"))))
+
+    return rows.select(
+        "path",
+        "n",
+        F.forall("p", lambda x: stand_in_size(x["text"]) <= F.col("room")).alias("all_fit"),
+        (blank(between(F.lit(0), F.element_at("p", 1)["start"])) & blank(between(end(last), F.length(text))) & F.forall(pairs, joined)).alias("nothing_lost"),
+        F.forall(pairs, overlapped).alias("overlaps"),
+        F.forall("p", lined).alias("lines_right"),
+    )
