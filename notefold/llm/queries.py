@@ -10,16 +10,22 @@ from notefold.llm.bpe import count_tokens, encode
 from notefold.llm.garbled import repair
 from notefold.llm.neighbours import neighbours, ranked, similar_pairs
 from notefold.llm.ngrams import banded, ngram_counts
-from notefold.llm.pack import pack_documents
-from notefold.llm.split import split_oversized
+from notefold.llm.pack import CAPACITY, cut_items, pack_documents, windows_report
+from notefold.llm.split import checked_pieces, split_oversized
 from notefold.llm.terms import term_weights, top_terms
 from notefold.operators.passages import live_passages
+from notefold.storage import write_table
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(spark.read.parquet(f"{d}/stored_passages.parquet"))
 
 
+def p2_pieces_hold(spark: SparkSession, d: str) -> DataFrame:
+    """Of each passage that was cut: whether its pieces fit, leave nothing out, and overlap as they must."""
+    return checked_pieces(spark.read.parquet(f"{d}/stored_passages.parquet"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).where("piece = 1").select("path", "n")
 
@@ -73,8 +79,19 @@ def p9_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each document that had to be cut, by its second part, of which there is one."""
-    return p9_windows(spark, d).where("part = 1").select(F.col("item").alias("doc_id"))
+    """Each document that lies in more than one window."""
+    return cut_items(p9_windows(spark, d)).select(F.col("item").alias("doc_id"))
+
+
+def p9_windows_hold(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the documents, and whether each is wholly in windows, cut only if it must be, and no window is too full."""
+    assigned = write_table(p9_windows(spark, d), "windows")
+    fill = windows_report(assigned).agg(F.coalesce(F.max("fill"), F.lit(0)).alias("most"))
+    docs = assigned.groupBy("item").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"), F.count_distinct("part").alias("parts"), F.max("parts").alias("of"))
+    once = (F.col("rows") == F.col("parts")) & (F.col("parts") == F.col("of"))
+    as_cut = F.col("of") == F.greatest(F.lit(1), F.ceil(F.col("size") / CAPACITY))
+    found = docs.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.min(once), F.lit(True)).alias("each_once"), F.coalesce(F.min(as_cut), F.lit(True)).alias("cut_only_if_needed"))
+    return found.crossJoin(F.broadcast(fill)).select("documents", "each_once", "cut_only_if_needed", (F.col("most") <= CAPACITY).alias("none_too_full"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +105,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_pieces_hold": p2_pieces_hold,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p4_ngrams": p4_ngrams,
@@ -98,6 +116,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_windows": p9_windows,
+    "p9_windows_hold": p9_windows_hold,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
@@ -116,6 +135,10 @@ w AS (SELECT path, unnest({_TOKENS.format("title")}) AS term FROM ti UNION ALL S
 f AS (SELECT path, term, count(*) AS tf FROM w GROUP BY 1, 2),
 n AS (SELECT count(DISTINCT path) AS n FROM stored_passages)"""
 _SIZE = r"len(regexp_extract_all(lower({}), '[\p{{P}}\p{{S}}]|[^\s\x0B\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}\p{{P}}\p{{S}}]{{1,6}}'))"
+_OVERSIZED = f"""
+WITH {_LIVE},
+s AS (SELECT path, n, text, array_to_string(list_filter(list_prepend(title, coalesce(trail, [])), lambda x: x IS NOT NULL), ' > ') AS prefix FROM live WHERE text IS NOT NULL),
+o AS (SELECT path, n FROM s WHERE {_SIZE.format("text")} > greatest(8, 110 - {_SIZE.format("prefix")}))"""
 ORACLES = {
     # All more similar vectors of a pair above the limit are above it as well, so the ranks of such pairs are enough.
     "p6_found": """
@@ -141,8 +164,7 @@ SELECT path, term FROM s WHERE k <= 3""",
     "p5_log_entropy": _NOTE_TERMS + """,
 d AS (SELECT term, ln(sum(tf)) - sum(tf * ln(tf)) / sum(tf) AS h FROM f GROUP BY 1)
 SELECT path, term, round(ln(1 + tf) * (1 - h / ln(n.n)), 6) AS weight FROM f JOIN d USING (term), n""",
-    "p2_found": f"""
-WITH {_LIVE},
-s AS (SELECT path, n, text, array_to_string(list_filter(list_prepend(title, coalesce(trail, [])), lambda x: x IS NOT NULL), ' > ') AS prefix FROM live WHERE text IS NOT NULL)
-SELECT path, n FROM s WHERE {_SIZE.format("text")} > greatest(8, 110 - {_SIZE.format("prefix")})""",
+    "p2_found": _OVERSIZED + " SELECT path, n FROM o",
+    "p2_pieces_hold": _OVERSIZED + " SELECT path, n, true AS all_fit, true AS nothing_lost, true AS overlaps, true AS lines_right FROM o",
+    "p9_windows_hold": "SELECT count(*) AS documents, true AS each_once, true AS cut_only_if_needed, true AS none_too_full FROM documents",
 }
