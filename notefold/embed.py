@@ -10,6 +10,15 @@ import numpy as np
 from notefold.chunker.counters import WordPiece, stand_in
 
 
+MOST_KNOWN = 200_000  # words whose directions a worker keeps
+PADDED = (16, 32, 64)  # what a question's tokens are filled up to
+
+
+def padded_to(tokens: int, window: int) -> int:
+    """The length that a question is filled up to: the least of a few, so a model meets few shapes."""
+    return min(next((n for n in PADDED if n >= tokens + 2), window + 2), window + 2)
+
+
 class Embedder(Protocol):
     name: str
     dimensions: int
@@ -30,19 +39,29 @@ class HashedWords:
 
     def __init__(self, dimensions: int = 64):
         self.name, self.dimensions, self.window, self.budget = f"hashed-words-{dimensions}", dimensions, 126, 110
+        self._known: dict[str, np.ndarray] = {}
+
+    def _direction(self, word: str) -> np.ndarray:
+        import xxhash
+
+        v = self._known.get(word)
+        if v is None:
+            if len(self._known) >= MOST_KNOWN:
+                self._known.clear()
+            v = self._known[word] = np.random.default_rng(xxhash.xxh64_intdigest(word)).standard_normal(self.dimensions, dtype=np.float32)
+        return v
 
     def count_tokens(self, text: str) -> int:
         return stand_in(text)
 
     def embed(self, texts: list[str]) -> np.ndarray:
         import regex
-        import xxhash
 
         find = regex.compile(r"[\p{L}\p{N}\p{M}]+").findall
         out = np.zeros((len(texts), self.dimensions), dtype=np.float32)
         for i, t in enumerate(texts):
             for w in find(t.lower()):
-                out[i] += np.random.default_rng(xxhash.xxh64_intdigest(w)).standard_normal(self.dimensions, dtype=np.float32)
+                out[i] += self._direction(w)
             length = np.linalg.norm(out[i])
             if length:
                 out[i] /= length
@@ -67,6 +86,7 @@ class OnnxSentences:
     def embed(self, texts: list[str]) -> np.ndarray:
         rows = [[self.ids["[CLS]"], *(self.ids[p] for p in self.pieces.tokens(t)[: self.window]), self.ids["[SEP]"]] for t in texts]
         width = max(map(len, rows), default=2)
+        width = max(width, padded_to(width - 2, self.window))
         ids = np.array([r + [self.ids.get("[PAD]", 0)] * (width - len(r)) for r in rows], dtype=np.int64)
         mask = np.array([[1] * len(r) + [0] * (width - len(r)) for r in rows], dtype=np.int64)
         given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}

@@ -13,12 +13,20 @@ from pyspark.sql.functions import udtf
 from notefold.chunker.chunk import Settings, chunk
 from notefold.embed import Embedder, vector_problem
 
+FEW_ITEMS, ITEMS_A_TASK = 16, 50_000
 PASSAGE = "ARRAY<STRUCT<n: INT, trail: ARRAY<STRING>, heads: ARRAY<STRING>, rep: BOOLEAN, line: INT, text: STRING, embed_text: STRING, recovered: BOOLEAN>>"
 NOTES = f"path STRING, sha256 STRING, title STRING, aliases ARRAY<STRING>, tags ARRAY<STRING>, indexable BOOLEAN, reason STRING, passages {PASSAGE}"
 
 _PASSAGE = pa.list_(pa.struct([("n", pa.int32()), ("trail", pa.list_(pa.string())), ("heads", pa.list_(pa.string())), ("rep", pa.bool_()), ("line", pa.int32()), ("text", pa.string()), ("embed_text", pa.string()), ("recovered", pa.bool_())]))
 
 
+def spread(rows: DataFrame, items: int) -> DataFrame:
+    """Shared out evenly, about ``items`` of them: cutting and embedding are dear, moving rows isn't."""
+    spark = rows.sparkSession
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), items // ITEMS_A_TASK)
+    return rows.repartition(max(1, min(-(-items // FEW_ITEMS), most)))
+
+
 def chunk_notes(notes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Of (path, content BINARY, fip): each note with its passages as a list.
 

@@ -92,19 +92,29 @@ def classify(listing: DataFrame, manifest: DataFrame, left_out: DataFrame | None
     return both.withColumn("action", action)
 
 
-def full_plan(listing: DataFrame, manifest: DataFrame, left_out: DataFrame | None = None, unreadable: list[str] | None = None) -> DataFrame:
-    """The plan once the changed notes' fingerprints are known (``sha256`` in the listing).
+def full_plan(listing: DataFrame, manifest: DataFrame, left_out: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+    """The plan where every note's fingerprint is known (``sha256`` in the listing)."""
+    return settled(classify(listing, manifest, left_out, shallow=False), unreadable)
 
-    A note below a folder that couldn't be listed is never removed: it is ``skipped``.
+
+def settled(rows: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """Classified rows, once the bytes of new and changed notes are known (``sha256``), with their last action.
+
+    A note below a folder that couldn't be listed (``unreadable``: path, ``.`` for the top) is never
+    removed: it is ``skipped``.
     """
-    rows = classify(listing, manifest, left_out, shallow=False)
     same_bytes = (F.col("sha256") == F.col("old_sha256")) & (F.col("fip") == F.col("old_fip"))
-    action = F.when(F.col("action") == "changed", F.when(same_bytes, F.when((F.col("size") == F.col("old_size")) & (F.col("mtime_ms") == F.col("old_mtime_ms")), "unchanged").otherwise("touched")).otherwise("updated")).when(F.col("action") == "new", "added").otherwise(F.col("action"))
+    same_date = (F.col("size") == F.col("old_size")) & (F.col("mtime_ms") == F.col("old_mtime_ms"))
+    action = F.when(F.col("action") == "changed", F.when(same_bytes, F.when(same_date, "unchanged").otherwise("touched")).otherwise("updated")).when(F.col("action") == "new", "added").otherwise(F.col("action"))
     rows = rows.withColumn("action", action)
-    for d in unreadable or []:
-        below = F.lit(True) if d == "." else F.startswith("path", F.lit(d.rstrip("/") + "/"))
-        rows = rows.withColumn("reason", F.when((F.col("action") == "removed") & below, "unreadable").otherwise(F.col("reason"))).withColumn("action", F.when((F.col("action") == "removed") & below, "skipped").otherwise(F.col("action")))
-    return rows
+    if unreadable is None:
+        return rows
+    parts = F.split("path", "/")
+    above = F.concat(F.array(F.lit(".")), F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
+    hidden = rows.where("action = 'removed'").select("path", F.explode(above).alias("folder")).join(unreadable.select(F.col("path").alias("folder")), "folder", "left_semi").select("path").distinct()
+    rows = rows.join(hidden.withColumn("_hidden", F.lit(True)), "path", "left")
+    out = rows.withColumn("reason", F.when(F.col("_hidden"), "unreadable").otherwise(F.col("reason"))).withColumn("action", F.when(F.col("_hidden"), "skipped").otherwise(F.col("action")))
+    return out.drop("_hidden")
 
 
 def rename_pairs(plan: DataFrame) -> DataFrame:
@@ -152,3 +162,11 @@ def would_stop(removed: int, new: int, indexed: int, seen: int) -> bool:
 def embed_order(plan: DataFrame, large: int = 64) -> DataFrame:
     """The order of work: notes of many passages last, the latest first, then by path."""
     return plan.orderBy((F.col("passages") > large).asc(), F.desc("mtime_ms"), "path")
+
+
+def saved_counts(plan: DataFrame, committed: DataFrame) -> DataFrame:
+    """(action, planned, saved): how much of a broken run's plan the index holds with the planned bytes."""
+    work = plan.where(F.col("action").isin("added", "updated")).select("path", "sha256", "action")
+    held = committed.select("path", "sha256").withColumn("held", F.lit(1))
+    both = work.join(held, ["path", "sha256"], "left")
+    return both.groupBy("action").agg(F.count(F.lit(1)).alias("planned"), F.count("held").alias("saved"))

@@ -1,8 +1,8 @@
 """Postings of passages: term counts, lengths, document frequencies, and their upkeep.
 
 A passage's fields are its title, its trail's headings and its text; only distinctive tokens are
-posted. Exploding and counting happen in one partial and one final aggregate; lengths come from
-the postings, never from a second reading of the texts.
+posted. Exploding and counting happen in one partial and one final aggregate. Where both postings
+and lengths are wanted of texts that aren't indexed, ``tokenised`` reads and cuts each text once.
 """
 
 from __future__ import annotations
@@ -36,6 +36,19 @@ def postings(passages: DataFrame, only: list[str] | None = None) -> DataFrame:
     return words.groupBy("path", "n", "token").agg(F.count(F.lit(1)).alias("hits")).select("path", "n", "token", F.least(F.col("hits"), F.lit(MOST_TF)).alias("tf"))
 
 
+def tokenised(passages: DataFrame, only: list[str]) -> DataFrame:
+    """(path, n, doc_len, words): each passage's length and, of its tokens, those asked for; from one cut of its text."""
+    rows = passages.select("path", "n", field_tokens().alias("tokens"))
+    wanted = F.filter("tokens", lambda t: t.isin(*only) if only else F.lit(False))
+    return rows.select("path", "n", F.least(F.size("tokens"), F.lit(MOST_LEN)).cast("long").alias("doc_len"), wanted.alias("words"))
+
+
+def postings_of(tokenised_: DataFrame) -> DataFrame:
+    """As ``postings``, of what ``tokenised`` gave."""
+    words = tokenised_.select("path", "n", F.explode("words").alias("token"))
+    return words.groupBy("path", "n", "token").agg(F.count(F.lit(1)).alias("hits")).select("path", "n", "token", F.least(F.col("hits"), F.lit(MOST_TF)).alias("tf"))
+
+
 def doc_lengths(passages: DataFrame) -> DataFrame:
     """(path, n, doc_len): the distinctive tokens of each passage, at most 65535; passages without any have 0."""
     return passages.select("path", "n", F.least(F.size(field_tokens()), F.lit(MOST_LEN)).cast("long").alias("doc_len"))

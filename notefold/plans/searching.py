@@ -13,6 +13,7 @@ from notefold.operators import postings as p
 from notefold.operators.passages import live_passages
 from notefold.operators.recall import recall_at_k
 from notefold.plans import sql
+from notefold.storage import write_table
 
 DIMS = 64
 QUESTIONS = [
@@ -72,9 +73,9 @@ def questions_read(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     live = passages(spark, d)
-    asked = c.held(b.wordings_table(spark, QUESTIONS))
-    words = sorted({w for r in asked.select("words").collect() for w in r["words"]})  # of one call's questions
-    return b.bm25(p.postings(live, words), p.doc_lengths(live), asked), live, asked
+    asked = b.wordings_table(spark, QUESTIONS)
+    cut = write_table(p.tokenised(live, b.words_of(asked)), "tokenised")
+    return b.bm25(p.postings_of(cut), cut, asked), live, asked
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +144,7 @@ def refetch_topk(spark: SparkSession, d: str) -> DataFrame:
     """Top folders taken as notes, so that few notes crowd the first fetch."""
     v = live_vectors(spark, d).select(F.substring_index("path", "/", 1).alias("path"), F.col("vec").cast("int").alias("n"), "vector")
     manifest = v.groupBy("path").agg((F.max("n") + 1).alias("passages"))
-    one = _question_vectors(spark, d).where("wording = 0")
-    return c.fetch_notes(v, one, manifest, 8, DIMS).select("rank", "path", "n", F.round("score", 6).alias("score"), "more_passages")
+    return c.fetch_each(v, _question_vectors(spark, d), manifest, 8, DIMS).select("wording", "rank", "path", "n", F.round("score", 6).alias("score"), "more_passages")
 
 
 def semi_known(spark: SparkSession, d: str) -> DataFrame:
@@ -262,12 +262,13 @@ kn AS (SELECT h.* FROM hits h JOIN man m ON m.path = h.path AND h.n >= 0 AND h.n
 best AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, wording, n) AS k FROM kn)
 SELECT b.path, b.n, round(b.score, 6) AS score, c.c - 1 AS more_passages FROM best b JOIN (SELECT path, count(DISTINCT n) AS c FROM kn GROUP BY 1) c USING (path) WHERE k = 1""",
     "refetch_topk": f"""
-WITH {_LIVE_VECTORS}, qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-sc AS (SELECT split_part(path, '/', 1) AS path, vec::INT AS n, {sql.cosine("v", "q")} AS score FROM lv, qv WHERE {sql.usable("v")}),
-rk AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, n) AS r FROM sc),
-kk AS (SELECT CASE WHEN (SELECT count(DISTINCT path) FROM rk WHERE r <= 64) < 8 AND (SELECT count(*) FROM rk) >= 64 THEN 256 ELSE 64 END AS k),
-kept AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, n) AS p, count(*) OVER (PARTITION BY path) AS c FROM rk, kk WHERE r <= k)
-SELECT row_number() OVER (ORDER BY round(score, 9) DESC, path) AS rank, path, n, round(score, 6) AS score, c - 1 AS more_passages FROM kept WHERE p = 1 ORDER BY round(score, 9) DESC, path LIMIT 8""",
+WITH {_LIVE_VECTORS}, qv AS (SELECT vec_id AS wording, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+sc AS (SELECT wording, split_part(path, '/', 1) AS path, vec::INT AS n, {sql.cosine("v", "q")} AS score FROM lv, qv WHERE {sql.usable("v")}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY wording ORDER BY round(score, 9) DESC, path, n) AS r FROM sc),
+kk AS (SELECT wording, CASE WHEN count(DISTINCT path) FILTER (r <= 64) < 8 AND count(*) >= 64 THEN 256 ELSE 64 END AS k FROM rk GROUP BY 1),
+kept AS (SELECT rk.*, row_number() OVER (PARTITION BY wording, path ORDER BY round(score, 9) DESC, n) AS p, count(*) OVER (PARTITION BY wording, path) AS c FROM rk JOIN kk USING (wording) WHERE r <= k),
+o AS (SELECT *, row_number() OVER (PARTITION BY wording ORDER BY round(score, 9) DESC, path) AS rank FROM kept WHERE p = 1)
+SELECT wording, rank, path, n, round(score, 6) AS score, c - 1 AS more_passages FROM o WHERE rank <= 8""",
     "semi_known": f"WITH {_LIVE_VECTORS}, {_MANIFEST} SELECT vec FROM lv JOIN man m ON m.path = lv.path WHERE lv.n >= 0 AND lv.n < m.passages",
     "recall": f"""{_E_TOP},
 o AS (SELECT *, row_number() OVER (PARTITION BY wording ORDER BY rank) AS k FROM tk WHERE rank <= 11 AND n <> wording)

@@ -52,6 +52,24 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are needed only until a piece of work is done; then they are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, fresh_path(spark, "scratch")
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _Files(self.spark, self.root).delete(self.root)
+
+
 def clustered_table(df: DataFrame, key: str, name: str) -> DataFrame:
     """As ``write_table``, in hash buckets of ``key``, sorted within them.
 
@@ -103,6 +121,11 @@ class _Files:
             self.fs.delete(self.Path(part), False)
             raise
 
+    def sizes(self, folder: str, prefix: str) -> dict[str, int]:
+        """Bytes below each folder of a name with this prefix, by the rest of its name."""
+        names = [n for n in self.names(folder) if n.startswith(prefix)]
+        return {n[len(prefix) :]: self.fs.getContentSummary(self.Path(f"{folder}/{n}")).getLength() for n in names}
+
     def delete(self, path: str) -> None:
         self.fs.delete(self.Path(path), True)
 

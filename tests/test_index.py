@@ -148,7 +148,7 @@ def test_nothing_to_do(spark, tmp_path):
     index = Index.create(spark, root, str(tmp_path / "i"))
     first = index.sync()
     second = index.sync()
-    assert second.stamp == first.stamp and second.counts == {"unchanged": 3, "left-out": 1, "renamed": 0}
+    assert second.stamp == first.stamp and second.counts == {"unchanged": 3, "left-out": 1, "renamed": 0, "leaving": 0, "other-files": 0}
     os.remove(f"{root}/N0.md")
     third = index.sync()
     assert third.counts["removed"] == 1 and third.stamp != first.stamp
