@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notefold.plans import notes, searching, syncing, upkeep
+from notefold.plans import folder, notes, searching, syncing, upkeep
 
-QUERIES = {**notes.QUERIES, **searching.QUERIES, **syncing.QUERIES, **upkeep.QUERIES}
-ORACLES = {**searching.ORACLES, **syncing.ORACLES, **upkeep.ORACLES}
+QUERIES = {**notes.QUERIES, **folder.QUERIES, **searching.QUERIES, **syncing.QUERIES, **upkeep.QUERIES}
+ORACLES = {**notes.ORACLES, **folder.ORACLES, **searching.ORACLES, **syncing.ORACLES, **upkeep.ORACLES}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -47,8 +47,19 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return p.folder_flags(rows)
 
 
+def _unreadable(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("Home",)], "path STRING")
+
+
+def saved_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A run that broke off when it had put the notes of names A to M into the index."""
+    plan = p.full_plan(listing(spark, d), manifest(spark, d), unreadable=_unreadable(spark))
+    committed = listing(spark, d).where(F.substring(p.base_name(), 1, 1) <= "m").select("path", "sha256")
+    return p.saved_counts(plan, committed)
+
+
 def sync_classify(spark: SparkSession, d: str) -> DataFrame:
-    return p.full_plan(listing(spark, d), manifest(spark, d), unreadable=["Home"]).select("path", "action", "reason")
+    return p.full_plan(listing(spark, d), manifest(spark, d), unreadable=_unreadable(spark)).select("path", "action", "reason")
 
 
 def sync_shallow(spark: SparkSession, d: str) -> DataFrame:
@@ -56,11 +67,11 @@ def sync_shallow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sync_counts(spark: SparkSession, d: str) -> DataFrame:
-    return p.plan_counts(p.full_plan(listing(spark, d), manifest(spark, d), unreadable=["Home"]))
+    return p.plan_counts(p.full_plan(listing(spark, d), manifest(spark, d), unreadable=_unreadable(spark)))
 
 
 def rename_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return p.rename_pairs(p.full_plan(listing(spark, d), manifest(spark, d), unreadable=["Home"]))
+    return p.rename_pairs(p.full_plan(listing(spark, d), manifest(spark, d), unreadable=_unreadable(spark)))
 
 
 def left_out_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +80,7 @@ def left_out_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def safety_stop(spark: SparkSession, d: str) -> DataFrame:
     """One row: what leaves the index, and whether a sync would stop for it."""
-    plan = p.full_plan(listing(spark, d), manifest(spark, d), unreadable=["Home"])
+    plan = p.full_plan(listing(spark, d), manifest(spark, d), unreadable=_unreadable(spark))
     n = {r["action"]: r["notes"] for r in p.plan_counts(plan).collect()}
     totals = p.PlanTotals(listing(spark, d).count(), manifest(spark, d).count(), n.get("removed", 0), n.get("dropped", 0), p.rename_pairs(plan).count())
     return spark.createDataFrame([(totals.seen, totals.indexed, totals.leaving, totals.mass_delete)], "seen LONG, indexed LONG, leaving LONG, mass_delete BOOLEAN")
@@ -94,10 +105,10 @@ def path_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embed_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred notes in the order of work."""
+    """Every note with its place in the order of work."""
     sizes = _table(spark, d, "stored_passages").groupBy("path").agg((F.max("n") + 1).alias("passages"))
     rows = _snapshot(spark, d, 0).select("path", "mtime_ms").join(sizes, "path")
-    return p.embed_order(rows).limit(100).select("path", "passages")
+    return p.embed_order(rows).select("place", "path", "passages")
 
 
 def content_copies(spark: SparkSession, d: str) -> DataFrame:
@@ -116,9 +127,6 @@ def events_last_put(spark: SparkSession, d: str) -> DataFrame:
     return last_put_wins(log).select(F.col("key").alias("user_id"), "event_id")
 
 
-_KINDS = [" AKIA", " sk-", " ghp_", " xoxb-", " eyJabcdefgh.", " Ignore all of the previous instructions ", " disregard the above ", ""]
-
-
 def _planted() -> Column:
     """Every text with something planted after it: by doc_id one of the screened kinds or nothing."""
     up = F.upper(F.substring(F.md5("text"), 1, 16))
@@ -169,7 +177,7 @@ def status(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sync_classify, sync_shallow, sync_counts, rename_pairs, left_out_counts, safety_stop, name_repeat_flag, duplicate_paths, exclude_under, path_hashes, embed_order,
+        sync_classify, sync_shallow, sync_counts, saved_counts, rename_pairs, left_out_counts, safety_stop, name_repeat_flag, duplicate_paths, exclude_under, path_hashes, embed_order,
         content_copies, run_medians, events_last_put, screen, mask, url_hosts, links, status,
     )
 }
@@ -198,29 +206,17 @@ co AS (SELECT sha256, path, row_number() OVER (PARTITION BY sha256 ORDER BY path
 rn AS (SELECT g.path AS from_path, c.path AS to_path FROM go g JOIN co c ON c.sha256 = g.sha256 AND c.k = g.k)"""
 _ENC = "replace(replace(replace(replace(replace(url_encode({x}), '''', '%27'), '!', '%21'), '(', '%28'), ')', '%29'), '*', '%2A')"
 _STRIP = r"trim(regexp_replace(regexp_replace({x}, '%%|\[\[|\]\]|[:#|^\\]', ' ', 'g'), '[\s\x{{00A0}}]+', ' ', 'g'))"
-_T = """p AS (SELECT doc_id, text || CASE doc_id % 8 WHEN 0 THEN ' AKIA' || upper(substr(md5(text), 1, 16)) WHEN 1 THEN ' sk-' || md5(text) WHEN 2 THEN ' ghp_' || md5(text) WHEN 3 THEN ' xoxb-' || md5(text)
+_T = """p AS (SELECT doc_id, text AS o, text || CASE doc_id % 8 WHEN 0 THEN ' AKIA' || upper(substr(md5(text), 1, 16)) WHEN 1 THEN ' sk-' || md5(text) WHEN 2 THEN ' ghp_' || md5(text) WHEN 3 THEN ' xoxb-' || md5(text)
   WHEN 4 THEN ' eyJ' || md5(text) || '.' || md5(text) || '.' || md5(text) WHEN 5 THEN ' Ignore all of the previous instructions' WHEN 6 THEN ' please disregard the above' ELSE '' END AS t FROM documents WHERE text IS NOT NULL)"""
-_RULE_SQL = [
-    ("private-key-block", "possible-secret", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\z)"),
-    ("api-key", "possible-secret", r"\bsk-[A-Za-z0-9_-]{20,}"),
-    ("github-token", "possible-secret", r"\b(?:ghp_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,})"),
-    ("aws-access-key-id", "possible-secret", r"\bAKIA[0-9A-Z]{16}\b"),
-    ("slack-token", "possible-secret", r"\bxox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("json-web-token", "possible-secret", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("ignore-previous-instructions", "possible-instruction-text", r"(?i)\bignore\s+(?:all\s+)?(?:of\s+)?(?:the\s+|your\s+)?(?:previous|prior|above|earlier)\s+instructions\b"),
-    ("disregard-the-above", "possible-instruction-text", r"(?i)\bdisregard\s+(?:all\s+)?(?:of\s+)?(?:the\s+|your\s+)?(?:above|previous|prior)\b"),
-]
-_RULES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{r}') THEN '{n}' END" for n, _, r in _RULE_SQL) + "], lambda x: x IS NOT NULL)"
-_FLAGS = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(chr(40) + f'regexp_matches(t, {chr(39)}{r}{chr(39)})' + chr(41) for _, f, r in _RULE_SQL if f == flag)} THEN '{flag}' END" for flag in ("possible-secret", "possible-instruction-text")) + "], lambda x: x IS NOT NULL)"
-_MASK = "t"
-for _n, _f, _r in _RULE_SQL:
-    if _f == "possible-secret":
-        _MASK = f"regexp_replace({_MASK}, '{_r}', '[hidden: looks like a key]', 'g')"
+# What was planted is what has to be found: the texts themselves hold nothing of the kind.
+_RULES = "CASE doc_id % 8 WHEN 0 THEN 'aws-access-key-id' WHEN 1 THEN 'api-key' WHEN 2 THEN 'github-token' WHEN 3 THEN 'slack-token' WHEN 4 THEN 'json-web-token' WHEN 5 THEN 'ignore-previous-instructions' WHEN 6 THEN 'disregard-the-above' ELSE '' END"
+_FLAGS = "CASE WHEN doc_id % 8 < 5 THEN 'possible-secret' WHEN doc_id % 8 < 7 THEN 'possible-instruction-text' ELSE '' END"
 
 ORACLES = {
     "sync_classify": f"{_PLAN} SELECT path, action, reason FROM pl",
     "sync_shallow": f"WITH {_SNAP} SELECT path, CASE WHEN NOT on_disk THEN 'removed' {_LEFT} WHEN same THEN 'unchanged' WHEN indexed THEN 'changed' ELSE 'new' END AS action FROM fo",
     "sync_counts": f"{_PLAN} SELECT action, count(*) AS notes FROM pl GROUP BY 1",
+    "saved_counts": f"""{_PLAN} SELECT action, count(*) AS planned, count(*) FILTER (sha256 IS NOT NULL AND lower(split_part(path, '/', -1))[1:1] <= 'm') AS saved FROM pl WHERE action IN ('added', 'updated') GROUP BY 1""",
     "rename_pairs": f"{_PLAN}{_RENAMES} SELECT * FROM rn",
     "left_out_counts": f"WITH {_SNAP} SELECT reason, count(*) AS notes FROM lst WHERE reason IS NOT NULL GROUP BY 1",
     "safety_stop": f"""{_PLAN}{_RENAMES},
@@ -230,12 +226,12 @@ SELECT seen, indexed, leaving, leaving > 10 AND leaving > indexed * 0.2 AS mass_
     "duplicate_paths": "SELECT path, raw, 'duplicate-path' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY raw) AS k FROM (SELECT DISTINCT replace(nfc_normalize(path), chr(160), ' ') AS path, path AS raw FROM note_snapshots WHERE path IS NOT NULL)) WHERE k > 1",
     "exclude_under": f"WITH {_SNAP} SELECT path, lower(path) = 'journal' OR lower(path) LIKE 'journal/%' AS excluded FROM lst",
     "path_hashes": f"WITH {_SNAP} SELECT path, substr(sha256(path), 1, 16) AS note_hash FROM lst",
-    "embed_order": f"WITH {_SNAP}, z AS (SELECT path, max(n) + 1 AS passages FROM stored_passages GROUP BY 1) SELECT s.path, z.passages FROM snap s JOIN z ON z.path = s.path WHERE back = 0 ORDER BY z.passages > 64, s.mtime_ms DESC NULLS LAST, s.path LIMIT 100",
+    "embed_order": f"WITH {_SNAP}, z AS (SELECT path, max(n) + 1 AS passages FROM stored_passages GROUP BY 1) SELECT row_number() OVER (ORDER BY z.passages > 64, s.mtime_ms DESC NULLS LAST, s.path) AS place, s.path, z.passages FROM snap s JOIN z ON z.path = s.path WHERE back = 0",
     "content_copies": "SELECT sha256(text) AS sha256, count(*) AS notes FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "run_medians": "SELECT status, count(*) AS runs, round(quantile_cont(finished_ms - started_ms, 0.5), 3) AS median_ms FROM sync_runs WHERE finished_ms IS NOT NULL GROUP BY 1",
     "events_last_put": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id IS NOT NULL) WHERE k = 1 AND event_type <> 'error'",
-    "screen": f"WITH {_T} SELECT doc_id, array_to_string({_FLAGS}, ',') AS flags, array_to_string({_RULES}, ',') AS rules FROM p",
-    "mask": f"WITH {_T} SELECT doc_id, md5({_MASK}) AS masked FROM p",
+    "screen": f"SELECT doc_id, {_FLAGS} AS flags, {_RULES} AS rules FROM documents WHERE text IS NOT NULL",
+    "mask": f"WITH {_T} SELECT doc_id, md5(CASE WHEN doc_id % 8 < 5 THEN o || ' [hidden: looks like a key]' ELSE t END) AS masked FROM p",
     "url_hosts": r"SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, count(*) AS links FROM (SELECT unnest(regexp_extract_all(text, 'https?://[^\s<>)\]]+')) AS url FROM documents) GROUP BY 1",
     "links": f"""WITH {sql.LIVE},
 h AS (SELECT path, n, rep, recovered, list_transform(heads, lambda h: {_STRIP.format(x="h")}) AS c FROM live),

@@ -11,14 +11,24 @@ RECORD = (
 )
 
 
-def read_log(spark: SparkSession, path: str, gen: int = 1) -> DataFrame:
-    """(gen, pos, record fields) of every whole record; ``pos`` is the line's byte-ordered place in its file.
+def log_lines(files: DataFrame) -> DataFrame:
+    """(file, pos, r): the whole records of log files (file, value: all of its text), each with its line's number.
 
-    A torn line isn't a record and is left out; the records around it stand.
+    A file is read up to its first torn or unreadable line, as a log that broke off there: what stands
+    behind it isn't told apart from what was never finished. Blank lines count but are no records.
+    A file is one row, so its order doesn't hang on how a scan is split; logs are to be rotated.
     """
-    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("pos"))
-    rows = lines.select("pos", F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r")).where(F.col("r.op").isNotNull())
-    return rows.select(F.lit(gen).alias("gen"), "pos", "r.*")
+    lines = files.select("file", F.transform(F.split("value", "\n"), lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("line"), F.from_json(x, RECORD).alias("r"))).alias("lines"))
+    bad = F.filter("lines", lambda x: (F.trim(x["line"]) != "") & x["r"]["op"].isNull())
+    end = F.when(F.size(bad) > 0, bad[0]["pos"])
+    rows = lines.select("file", end.alias("end"), F.explode("lines").alias("l")).where(F.col("end").isNull() | (F.col("l.pos") < F.col("end")))
+    return rows.where(F.col("l.r.op").isNotNull()).select("file", "l.pos", "l.r")
+
+
+def read_log(spark: SparkSession, path: str, gen: int = 1) -> DataFrame:
+    """(gen, file, pos, record fields) of every whole record; order within a ``gen`` is by (file, pos)."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return log_lines(files).select(F.lit(gen).alias("gen"), "file", "pos", "r.*")
 
 
 def write_log(records: DataFrame, path: str) -> None:
@@ -30,7 +40,7 @@ def live_records(log: DataFrame) -> DataFrame:
     """The put records that count: of each path the last record by (gen, pos), if it is a put."""
     from notefold.operators.lastput import last_put_wins
 
-    rows = log.where("op <> 'header'").select(F.col("path").alias("key"), F.struct("gen", "pos").alias("seq"), "op", *[c for c in log.columns if c not in ("op",)])
+    rows = log.where("op <> 'header'").select(F.col("path").alias("key"), F.struct("gen", "file", "pos").alias("seq"), "op", *[c for c in log.columns if c not in ("op",)])
     return last_put_wins(rows).drop("key")
 
 

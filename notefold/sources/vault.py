@@ -9,8 +9,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import threading
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LISTING = "path STRING, raw STRING, abs STRING, size LONG, mtime_ms LONG, kind STRING, reason STRING"
+READ_TIMEOUT_S = 10.0
 _STUB = re.compile(r"^\.(.+\.md)\.icloud$", re.I)
 
 
@@ -173,6 +175,11 @@ def read_listing(spark: SparkSession, root: str, exclude: list[str] | None = Non
     return notes.unionByName(rows.where("kind <> 'note'"))
 
 
+def left_out_counts(listing: DataFrame) -> DataFrame:
+    """(reason, notes): how many notes are left out and why."""
+    return listing.where((F.col("kind") == "note") & F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("notes"))
+
+
 def unmatched(listing: DataFrame, root: str, exclude: list[str]) -> list[str]:
     """The exclude entries that hold no folder or note; names that begin with a dot are never missed."""
     from notefold.operators.plan import under
@@ -185,18 +192,27 @@ def unmatched(listing: DataFrame, root: str, exclude: list[str]) -> list[str]:
     return [raw for i, raw in enumerate(asked) if not hits[f"e{i}"]]
 
 
-def read_bytes(notes: DataFrame) -> DataFrame:
-    """With ``content`` of the files named in ``abs``; null for a file that can't be read or changed meanwhile."""
+def read_bytes(notes: DataFrame, timeout_s: float = READ_TIMEOUT_S) -> DataFrame:
+    """With ``content`` of the files named in ``abs``; null for a file that can't be read, stalls or changed meanwhile."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content = [_steady(p) for p in b.column("abs").to_pylist()]
+            content = [within(lambda at=p: _steady(at), timeout_s) for p in b.column("abs").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(content, pa.binary())], names=[*b.schema.names, "content"])
 
     return notes.mapInArrow(run, f"{fields}, content BINARY")
 
 
+def within(read: Callable[[], bytes | None], timeout_s: float) -> bytes | None:
+    """What a read gives, or None if it takes too long; the thread of a stalled read is left behind."""
+    out: list[bytes | None] = []
+    t = threading.Thread(target=lambda: out.append(read()), daemon=True)
+    t.start()
+    t.join(timeout_s)
+    return out[0] if out else None
+
+
 def _steady(path: str) -> bytes | None:
     """A file's bytes if size and date are the same before and after, tried twice."""
     for _ in range(2):

@@ -1,48 +1,111 @@
 """Passages kept in step with a stream of note records.
 
 New log files are picked up by a checkpointed file source; each micro-batch reduces its records to
-the last one of each note and applies them as one commit of the index's store, so a repeated batch
-changes nothing. ``availableNow`` works off what is there and ends.
+the last one of each note, by file name and line, and applies them as one commit of the index's
+store: notes, passages, vectors, postings and lengths together. The store remembers, for each
+streaming query, the last batch that it holds, so a batch that is repeated after a failure changes
+nothing, and a query with a new checkpoint starts from its own beginning. ``availableNow`` works
+off what is there and ends.
+
+Defined results: records without path or with another op than put and del change nothing; of several
+records of a note in a batch the last by (file, line) counts; a note whose last record is a put
+without passages has none; passages without text are left out; a torn line ends its file.
 """
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
+from notefold.embed import Embedder, HashedWords
+from notefold.functions.shown import duration
+from notefold.operators.chunking import embed_passages
 from notefold.operators.postings import doc_lengths, postings
-from notefold.sources.log import RECORD
+from notefold.sources.log import log_lines
+from notefold.storage import Scratch
 from notefold.store import Change, Store
 
+log = logging.getLogger(__name__)
+
+
+def apply_records(store: Store, records: DataFrame, batch: int, query: str = "", make: Callable[[], Embedder] = HashedWords) -> bool:
+    """One commit of (file, pos, record fields): each note's last put replaces what the index has of it, a delete takes it away.
 
-def apply_records(store: Store, records: DataFrame, batch: int) -> None:
-    """One commit: each note's last put replaces what the index has of it, a delete takes it away."""
+    False if the store holds this batch of this query already.
+    """
     state = store.state()
-    if state.meta.get("last_batch", -1) >= batch:
-        return  # this batch was committed before the stream broke off
-    last = records.where(F.col("path").isNotNull() & F.col("op").isin("put", "del")).groupBy("path").agg(F.max_by(F.struct("op", "sha256", "size", "mtimeMs", "fip", "title", "passages"), F.struct("gen", "pos")).alias("r")).select("path", "r.*")
-    puts = last.where("op = 'put'")
-    rows = puts.select("path", "title", F.explode("passages").alias("p")).select("path", "title", "p.*")
-    notes = puts.select("path", "sha256", "size", F.col("mtimeMs").alias("mtime_ms"), F.lit(True).alias("racy"), "fip", "title", F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("tags"), F.size("passages").alias("passages"), F.size(F.filter("passages", lambda p: F.size(p["flags"]) > 0)).alias("flagged"))
-    gone = last.select("path")
-    changes = {
-        "notes": Change(gone, notes),
-        "passages": Change(gone, rows),
-        "postings": Change(gone, postings(rows).withColumn("tf", F.col("tf").cast("int"))),
-        "lengths": Change(gone, doc_lengths(rows).withColumn("doc_len", F.col("doc_len").cast("int"))),
-    }
-    store.commit(state, changes, state.meta | {"last_batch": batch}, True)
-
-
-def stream_log(spark: SparkSession, folder: str, store: Store, checkpoint: str, files_per_batch: int = 100) -> None:
-    """Work off the log files of a folder (``*.jsonl``), in the order of their names, and end."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    rows = lines.select("file", F.from_json("value", RECORD).alias("r")).where("r.op IS NOT NULL")
+    done = state.meta.get("batches", {})
+    if done.get(query, -1) >= batch:
+        return False  # it was committed before the stream broke off
+    with store.lock(), Scratch(store.spark) as scratch:
+        known = records.where(F.col("path").isNotNull() & F.col("op").isin("put", "del"))
+        fields = F.struct("op", "sha256", "size", "mtimeMs", "fip", "title", "passages")
+        last = scratch.table(known.groupBy("path").agg(F.max_by(fields, F.struct("file", "pos")).alias("r")).select("path", "r.*"), "last")
+        puts = last.where("op = 'put'")
+        rows = puts.select("path", "title", F.explode("passages").alias("p")).select("path", "title", "p.*").where(F.col("text").isNotNull())
+        head = F.array_join(F.concat(F.array_compact(F.array("title")), F.coalesce("trail", F.array().cast("array<string>"))), " > ")
+        rows = embed_passages(rows.withColumn("embed_text", F.concat(head, F.lit("\n"), "text")).drop("vec"), make)
+        rows = scratch.table(rows, "passages")
+        count = F.size(F.filter("passages", lambda p: p["text"].isNotNull()))
+        flagged = F.size(F.filter("passages", lambda p: p["text"].isNotNull() & (F.size(p["flags"]) > 0)))
+        none = F.array().cast("array<string>")
+        notes = puts.select(
+            "path", "sha256", "size", F.col("mtimeMs").alias("mtime_ms"), F.lit(True).alias("racy"), F.coalesce("fip", F.lit(False)).alias("fip"), "title", none.alias("aliases"), none.alias("tags"),
+            F.greatest(F.lit(0), count).alias("passages"), F.greatest(F.lit(0), flagged).alias("flagged"),
+        )
+        gone = last.select("path")
+        changes = {
+            "notes": Change(gone, notes, True),
+            "passages": Change(gone, rows, True),
+            "vectors": Change(gone, rows.where(F.col("vector").isNotNull()), True),
+            "postings": Change(gone, postings(rows).withColumn("tf", F.col("tf").cast("int")), True),
+            "lengths": Change(gone, doc_lengths(rows).withColumn("doc_len", F.col("doc_len").cast("int")), True),
+        }
+        store.commit(state, changes, state.meta | {"batches": done | {query: batch}}, True)
+    return True
+
+
+def files_a_batch(rate: float) -> int:
+    """How much to ask for at once: about five seconds' work at a rate a second, within bounds."""
+    return max(8, min(128, round(rate * 5)))
+
+
+def settled_files(files: DataFrame, settle_ms: int) -> DataFrame:
+    """Only files that were last written long enough ago: one that is still growing waits for a later run."""
+    age = F.unix_millis(F.current_timestamp()) - F.unix_millis("changed")
+    return files.where(age >= settle_ms)
+
+
+def progress(query: StreamingQuery) -> str | None:
+    """A line about a running query, by counts only: batch, rows, rows a second, how long the batch took."""
+    p = query.lastProgress
+    if not p:
+        return None
+    return f"batch {p['batchId']}: {p['numInputRows']} rows, {round(p.get('processedRowsPerSecond') or 0)} a second, {duration(p.get('batchDuration') or 0)}"
+
+
+def stream_log(spark: SparkSession, folder: str, store: Store, checkpoint: str, files_per_batch: int = 100, make: Callable[[], Embedder] = HashedWords, settle_ms: int = 0) -> None:
+    """Work off the log files of a folder, in the order of their names, and end.
+
+    With ``settle_ms`` the run refuses to start while a file of the folder was written that shortly before.
+    """
+    if settle_ms:
+        young = spark.read.format("binaryFile").load(folder).select(F.col("modificationTime").alias("changed"))
+        if young.count() != settled_files(young, settle_ms).count():
+            log.info("stream: a log file is still being written, nothing is read yet")
+            return
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = log_lines(files)
 
     def write(batch: DataFrame, number: int) -> None:
-        # Places in a file: rows of a file are read in order, and the id rises within a partition.
-        records = batch.withColumn("pos", F.struct("file", F.monotonically_increasing_id())).select(F.lit(number).alias("gen"), "pos", "r.*")
-        apply_records(store, records, number)
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+        apply_records(store, batch.select("file", "pos", "r.*"), number, query_id, make)
 
     query = rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    if line := progress(query):
+        log.info("stream: %s", line)

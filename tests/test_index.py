@@ -248,26 +248,146 @@ def test_logs(spark, tmp_path):
     assert log.count() == 5
     (live,) = live_records(log).collect()
     assert (live["path"], live["sha256"], live["passages"][0]["text"]) == ("A.md", "3", "new words here")
-    write_log(log.drop("gen", "pos"), f"file://{tmp_path}/copy")
+    write_log(log.drop("gen", "file", "pos"), f"file://{tmp_path}/copy")
     assert read_log(spark, f"file://{tmp_path}/copy").count() == 5
     (tmp_path / "q.json").write_text(json.dumps([{"n": 1, "question": "q", "phrasings": ["a"], "exact": "e", "expected": "x"}]))
     assert read_questions(spark, f"file://{tmp_path}/q.json").first()["phrasings"] == ["a"]
 
 
+def test_a_log_ends_at_its_first_torn_line(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    lines = [json.dumps(r) for r in LOG]
+    (tmp_path / "log" / "1.jsonl").write_text("\n".join([lines[1], "", lines[2][:30], lines[3]]))
+    (tmp_path / "log" / "2.jsonl").write_text(lines[4])
+    assert [(r["op"], r["path"], r["pos"]) for r in read_log(spark, f"file://{tmp_path}/log").orderBy("file", "pos").collect()] == [("put", "A.md", 0), ("del", "B.md", 0)]
+
+
 def test_streamed_log(spark, tmp_path):
+    from notefold.embed import HashedWords
+    from notefold.streaming.syncs import apply_records, files_a_batch
+
     logs = tmp_path / "log"
     logs.mkdir()
     store = Store(spark, f"file://{tmp_path}/store")
     (logs / "1.jsonl").write_text("\n".join(json.dumps(r) for r in LOG[:3]) + "\n")
-    go = lambda: stream_log(spark, f"file://{logs}", store, f"file://{tmp_path}/check")
+    go = lambda check="check", **o: stream_log(spark, f"file://{logs}", store, f"file://{tmp_path}/{check}", **o)
     go()
     assert {r["text"] for r in store.read("passages").collect()} == {"old words here", "other words here"}
     assert {r["path"]: r["flagged"] for r in store.read("notes").collect()} == {"A.md": 0, "B.md": 1}
     (logs / "2.jsonl").write_text("\n".join(json.dumps(r) for r in LOG[3:]) + "\n")
+    go(settle_ms=10**9)  # written too shortly before
+    assert store.read("passages").count() == 2
     go()
     go()
     assert {r["text"] for r in store.read("passages").collect()} == {"new words here"}
     assert store.read("postings").where("token = 'old'").count() == 0
+    # Vectors follow: the deleted note's is gone, the replaced one's is new.
+    (vector,) = store.read("vectors").collect()
+    assert vector["path"] == "A.md" and vector["vector"] == HashedWords().embed(["A\nnew words here"])[0].tolist()
+    # A repeated batch changes nothing, a new checkpoint isn't taken for one.
+    before = store.state()
+    again = read_log(spark, f"file://{logs}")
+    assert not apply_records(store, again, 0, next(iter(before.meta["batches"]))) and store.state().number == before.number
+    (logs / "1.jsonl").unlink(), (logs / "2.jsonl").unlink()
+    (logs / "3.jsonl").write_text(json.dumps(LOG[2]) + "\n")
+    go("other check")
+    assert {r["path"] for r in store.read("notes").collect()} == {"A.md", "B.md"}
+    assert [files_a_batch(r) for r in (0.1, 4, 1000)] == [8, 20, 128]
+
+
+def test_the_last_line_of_the_last_file_counts(spark, tmp_path):
+    logs = tmp_path / "log"
+    logs.mkdir()
+    for k in (2, 1, 3):
+        lines = [dict(LOG[1], sha256=f"{k}-{i}") for i in range(200)]
+        (logs / f"{k}.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    store = Store(spark, f"file://{tmp_path}/store")
+    stream_log(spark, f"file://{logs}", store, f"file://{tmp_path}/check")
+    assert store.read("notes").first()["sha256"] == "3-199"
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    with store.lock():
+        with pytest.raises(Busy):
+            with Store(spark, f"file://{tmp_path}/s").lock():
+                pass
+        with Store(spark, f"file://{tmp_path}/s").lock(now_ms=lambda: 10**14) as later:  # taken over as stale
+            assert later
+            with pytest.raises(Busy):
+                store._still_ours()
+    with store.lock():
+        pass
+
+
+def test_buckets_follow_the_size(spark, tmp_path):
+    from notefold.store import Change
+
+    store = Store(spark, f"file://{tmp_path}/s", bucket_bytes=600)
+    rows = lambda a, b: spark.createDataFrame([(f"{i:04d}.md", 0, i) for i in range(a, b)], "path STRING, n INT, doc_len INT")
+    none = rows(0, 0).select("path")
+    state = store.commit(store.state(), {"lengths": Change(none, rows(0, 50))}, {}, True)
+    assert state.buckets["lengths"] == 8
+    for k in range(1, 9):
+        state = store.commit(state, {"lengths": Change(none, rows(50 * k, 50 * k + 50))}, {}, True, added_bytes=4_000)
+    assert state.buckets["lengths"] >= 16 and {tuple(r) for r in store.read("lengths").collect()} == {(f"{i:04d}.md", 0, i) for i in range(450)}
+    before = dict(state.tables["lengths"])
+    state = store.commit(state, {"lengths": Change(rows(3, 4).select("path"), rows(3, 4))}, {}, True)
+    assert sum(before[b] != f for b, f in state.tables["lengths"].items()) == 1  # one bucket was written
+
+
+def test_a_reader_reads_again_when_the_index_was_published_anew(spark, tmp_path):
+    root = str(tmp_path / "n")
+    write(root, **{"A.md": "apples ripen slowly in autumn\n"})
+    index = Index.create(spark, root, str(tmp_path / "i"))
+    index.sync()
+    seen = []
+
+    def use(state):
+        rows = index.store.read("passages", state)
+        if not seen:  # a sync comes between listing the files and reading them
+            write(root, **{"A.md": "pears ripen slowly in autumn\n"})
+            index.sync()
+        seen.append(state.number)
+        return rows.collect()
+
+    assert [r["text"] for r in index.store.reading(use)] == ["pears ripen slowly in autumn"] and len(seen) == 2
+
+
+def test_asking_brings_a_little_in_step(spark, tmp_path):
+    root = str(tmp_path / "n")
+    write(root, **{f"N{i}.md": f"apples ripen slowly in autumn {i}\n" for i in range(12)})
+    index = Index.create(spark, root, str(tmp_path / "i"))
+    with pytest.raises(NotSynced):
+        index.ask("apples")
+    index.sync()
+    write(root, **{"New.md": "the heliotrope flowers in june\n"})
+    answer = index.ask("heliotrope june")
+    assert answer.notices == [] and "New.md" in {r["path"] for r in [*answer.meaning.collect(), *answer.exact.collect()]}
+    for i in range(12):
+        os.remove(f"{root}/N{i}.md")
+    answer = index.ask("apples")
+    assert any("many notes are gone" in n for n in answer.notices) and index.store.read("notes").count() == 13
+    write(root, **{f"M{i}.md": f"boats drift gently {i}\n" for i in range(30)})
+    assert any("notes not in step" in n for n in index.ask("boats").notices)
+
+
+def test_a_stalled_read_is_given_up():
+    import time
+
+    from notefold.sources.vault import within
+
+    assert within(lambda: time.sleep(5) or b"late", 0.05) is None and within(lambda: b"now", 5) == b"now"
+
+
+def test_shown_numbers():
+    from notefold.embed import padded_to
+    from notefold.functions.shown import duration, eta, num, plural
+
+    assert (num(1234567), plural(1, "note"), plural(2_000, "note"), plural(2, "entry", "entries")) == ("1,234,567", "1 note", "2,000 notes", "2 entries")
+    assert [duration(ms) for ms in (7, 1_500, 42_000, 125_000, 1_800_000, 9_000_000)] == ["7 ms", "1.5 s", "42 s", "2 min 5 s", "30 min", "2 h 30 min"]
+    assert eta(10, 40, 2_000) == "6.0 s" and eta(0, 5, 100) is None
+    assert [padded_to(n, 126) for n in (3, 14, 15, 40, 63, 126)] == [16, 16, 32, 64, 128, 128]
 
 
 def test_command_line(spark, vault, tmp_path, capsys):
