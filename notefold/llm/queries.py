@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notefold.functions.text import tokens
@@ -13,6 +13,7 @@ from notefold.llm.ngrams import banded, ngram_counts
 from notefold.llm.pack import CAPACITY, cut_items, pack_documents, windows_report
 from notefold.llm.split import checked_pieces, split_oversized
 from notefold.llm.terms import term_weights, top_terms
+from notefold.operators.cosine import top_k
 from notefold.operators.passages import live_passages
 from notefold.storage import write_table
 
@@ -70,6 +71,22 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return ranked(neighbours(spark.read.parquet(f"{d}/passage_vectors.parquet"), k=10), 10)
 
 
+def p6_recall_holds(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the positions divisible by 50 against an exact scan of all, and whether recall at 10 is 0.9 or more there."""
+    table = spark.read.parquet(f"{d}/passage_vectors.parquet").select("vec", "embedding")
+    found = ranked(neighbours(table, k=10), 10).where(F.col("vec") % 50 == 0)
+    rows = table.where(F.col("vec").isNotNull()).groupBy("vec").agg(F.max("embedding").alias("vector"))
+    rows = write_table(rows.select(F.lit("").alias("path"), F.col("vec").alias("n"), "vector"), "vectors")
+    exact = top_k(rows, rows.where(F.col("n") % 50 == 0).select(F.col("n").alias("wording"), "vector"), 11, 64).where("n <> wording")
+    w = Window.partitionBy("wording").orderBy("rank")
+    exact = write_table(exact.withColumn("k", F.row_number().over(w)).where("k <= 10").select(F.col("wording").alias("vec"), F.col("n").alias("other"), "score"), "exact")
+    # A position that is as near as the tenth counts as well as the tenth.
+    bar = exact.groupBy("vec").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("of"))
+    hits = found.join(bar, "vec").where(F.col("cosine") >= F.col("least") - 1e-5).groupBy("vec").agg(F.count(F.lit(1)).alias("hits"))
+    sums = bar.join(hits, "vec", "left").agg(F.count(F.lit(1)).alias("asked"), F.sum(F.coalesce("hits", F.lit(0))).alias("hits"), F.sum("of").alias("of"))
+    return sums.select("asked", (F.coalesce(F.col("hits") / F.col("of"), F.lit(1.0)) >= 0.9).alias("recall_holds"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(spark.read.parquet(f"{d}/documents.parquet"))
 
@@ -113,6 +130,7 @@ QUERIES = {
     "p5_log_entropy": p5_log_entropy,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
+    "p6_recall_holds": p6_recall_holds,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_windows": p9_windows,
@@ -149,6 +167,9 @@ p AS (SELECT a.vec AS a, b.vec AS b, array_inner_product(a.u, b.u) AS c FROM u a
 d AS (SELECT a, b, c FROM p UNION ALL SELECT b, a, c FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 7) DESC, b) AS k FROM d)
 SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 10""",
+    "p6_recall_holds": """
+SELECT count(DISTINCT vec) AS asked, true AS recall_holds FROM passage_vectors WHERE vec % 50 = 0 AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
     "p4_found": _TERMS + " SELECT term, band FROM b WHERE band IS NOT NULL",
     "p4_terms": _TERMS + " SELECT term, cf, df, band FROM b",
     "p4_ngrams": f"""

@@ -106,3 +106,50 @@ def test_hot_and_many_blocks(spark, monkeypatch):
     want = brute(x / np.linalg.norm(x, axis=1, keepdims=True), list(range(600)), 10)
     assert set(got) == set(want) and all(len(set(v)) == 10 for v in got.values())
     assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.9
+
+
+def test_exact_mode_is_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = unit(rng, 400)
+    df = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in ranked(neighbours(df, centroids=8, block=40, candidates=50, exact=True)).collect():
+        got.setdefault(r["vec"], set()).add(r["other"])
+    want = brute(x, list(range(400)), 10)
+    assert all(got[i] == set(want[i]) for i in want)
+
+
+def test_a_third_of_all_is_one_vector(spark):
+    """Its copies are spread over tasks; each has the class's least positions as neighbours."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(unit(rng, 1), 900, axis=0), unit(rng, 1800)])
+    order = rng.permutation(len(x))
+    x = x[order]
+    df = spark.createDataFrame([(i, v.tolist(), "") for i, v in enumerate(x)], SCHEMA).repartition(5)
+    copies = sorted(np.flatnonzero(order < 900).tolist())
+    got = {}
+    for r in ranked(neighbours(df)).collect():
+        got.setdefault(r["vec"], []).append((r["rank"], r["other"]))
+    assert set(got) == set(range(len(x))) and all(len(v) == 10 for v in got.values())
+    for c in copies:
+        assert [o for _, o in sorted(got[c])] == [o for o in copies[:11] if o != c][:10]
+
+
+def test_routes_deal_blocks_by_size():
+    from notefold.llm.neighbours import Routes
+
+    cells, counts = np.arange(40), np.full(40, 3_000)
+    counts[0] = 60_000
+    own = np.arange(40)
+    r = Routes(cells, counts, own, np.repeat(own, 4), np.array([(b + j) % 40 for b in range(40) for j in range(4)]), 40, 3_000, 4)
+    load = np.zeros(r.tasks)
+    for b in range(40):
+        for part in range(r.start[b], r.start[b + 1]):
+            load[r.task_of[part]] += sum(counts[c] for c in range(40) if part in r.of(c, 7) or part in r.targets[r.ends[c] : r.ends[c + 1]])
+    assert load.max() <= load.mean() * 2 + 70_000 and r.parts[0] == 5
+
+
+def test_more_vectors_get_more_cells():
+    from notefold.llm.neighbours import centroids_for
+
+    assert [centroids_for(n) for n in (10, 10**8, 10**9, 10**12)] == [512, 512, 1024, 2048]
