@@ -35,6 +35,7 @@ def _parser() -> argparse.ArgumentParser:
             v.add_argument("--no-exact-words", action="store_true")
             v.add_argument("--no-sync", action="store_true", help="don't bring a few waiting passages in step first")
             v.add_argument("--vault", help="the name links are made with")
+            v.add_argument("--vaults", help="the editor's list of vaults, to find that name in")
         if name == "status":
             v.add_argument("--verify", action="store_true")
         if name == "rebuild":
@@ -45,7 +46,7 @@ def _parser() -> argparse.ArgumentParser:
 def _run(a: argparse.Namespace, spark) -> dict:
     from notefold.index import Index
 
-    index = Index.create(spark, a.root, a.index, exclude=a.exclude, vault=getattr(a, "vault", None))
+    index = Index.create(spark, a.root, a.index, exclude=a.exclude, vault=getattr(a, "vault", None), registry=getattr(a, "vaults", None))
     rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]  # noqa: E731  # at most 50 results
     if a.verb == "init":
         return {"indexDir": os.path.abspath(a.index), "notesFound": index.listing().where("kind = 'note' AND reason IS NULL").count(), "excluded": a.exclude}

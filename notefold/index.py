@@ -23,7 +23,7 @@ from notefold.operators.postings import doc_lengths, postings
 from notefold.operators.search import search as two_lists
 from notefold.operators.status import StatusInput, VerifyInput, not_listed, passage_ids, status_checks, verify_checks
 from notefold.session import ship
-from notefold.sources.vault import read_bytes, read_listing, unmatched
+from notefold.sources.vault import lookup_vault, read_bytes, read_listing, unmatched
 from notefold.storage import Scratch
 from notefold.store import Change, State, Store
 
@@ -54,7 +54,7 @@ class Answer:
 class Index:
     """``root`` holds the notes and is only read; ``out`` holds the index and is only written here."""
 
-    def __init__(self, spark: SparkSession, root: str, out: str, exclude: list[str] | None = None, embedder: Callable[[], Embedder] = HashedWords, settings: Settings | None = None, editor_filters: bool = True, vault: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, out: str, exclude: list[str] | None = None, embedder: Callable[[], Embedder] = HashedWords, settings: Settings | None = None, editor_filters: bool = True, vault: str | None = None, registry: str | None = None):
         real, target = os.path.realpath(root), os.path.realpath(out.removeprefix("file://"))
         if not os.path.isdir(real):
             raise SourceMissing(root)
@@ -63,6 +63,8 @@ class Index:
         self.spark, self.root, self.exclude, self.make = spark, real, exclude or [], embedder
         self.settings = settings or Settings()
         self.editor_filters, self.vault = editor_filters, vault
+        if registry and not vault:  # the editor's list of vaults says under which name links are made
+            self.vault = lookup_vault(real, registry)[1]
         self.store = Store(spark, out)
         ship(spark)
 

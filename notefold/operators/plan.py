@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notefold.operators.numbering import numbered
+
 RACY_MS = 2_000
 MASS_COUNT, MASS_SHARE = 10, 0.2
 
@@ -160,16 +162,9 @@ def would_stop(removed: int, new: int, indexed: int, seen: int) -> bool:
 
 
 def embed_order(plan: DataFrame, large: int = 64) -> DataFrame:
-    """With ``place`` in the order of work: notes of many passages last, the latest first, then by path.
-
-    Rows are put into ranges of that order and numbered within them, so no task holds them all.
-    """
-    order = [(F.col("passages") > large).asc(), F.desc("mtime_ms"), F.asc("path")]
-    ranged = plan.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    return ranged.join(F.broadcast(starts), "_p").withColumn("place", F.coalesce("_start", F.lit(0)) + F.col("_k")).drop("_p", "_k", "_n", "_start")
+    """With ``place`` from 1 in the order of work: notes of many passages last, the latest first, then by path."""
+    placed = numbered(plan, (F.col("passages") > large).asc(), F.desc("mtime_ms"), F.asc("path"), name="place")
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 def saved_counts(plan: DataFrame, committed: DataFrame) -> DataFrame:

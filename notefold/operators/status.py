@@ -17,6 +17,7 @@ from notefold.embed import Embedder
 from notefold.functions.vectors import similarity, vector_ok
 from notefold.operators.chunking import embed_passages
 from notefold.operators.cosine import top_k
+from notefold.operators.numbering import stratified
 from notefold.operators.postings import doc_lengths, postings
 
 SAMPLES, SAMPLE_TOP, SAMPLE_OFF = 50, 10, 1e-4
@@ -76,7 +77,7 @@ class VerifyInput:
 
 def _sampled(v: VerifyInput, dims: int) -> bool:
     """Whether sampled passages' vectors, made again, are the stored ones and find what an exact scan finds."""
-    some = v.fresh.orderBy(F.xxhash64("path", "n"), "path", "n").limit(SAMPLES)
+    some = stratified(v.fresh, SAMPLES, "path", "n").dropDuplicates(["path", "n"])
     w = Window.orderBy("path", "n")  # at most SAMPLES rows
     some = embed_passages(some.select("path", "n", "embed_text"), v.make).where(F.col("vector").isNotNull()).withColumn("wording", F.row_number().over(w))
     again = v.fresh.sparkSession.createDataFrame(some.select("wording", "path", "n", "vector").collect(), "wording INT, path STRING, n INT, vector ARRAY<FLOAT>")

@@ -110,6 +110,9 @@ def index_life(spark: SparkSession, d: str) -> DataFrame:
     fresh.sync(now_ms=10**13)
     rows = [(t, _same(index.store.read(t), fresh.store.read(t))) for t in ("notes", "passages", "vectors", "postings", "lengths", "left_out")]
     rows += [(r["name"], r["ok"]) for r in index.status(verify=True).collect()]
+    meaning, exact = index.search(["where is the heliotrope"])
+    hits = [r["text"] for r in exact.collect()]
+    rows.append(("search finds the planted word", len(hits) == 3 and all("heliotrope" in t for t in hits) and 0 < meaning.count() <= 8))
     third = index.sync()
     rows += [("nothing left to do", set(third.counts) <= {"unchanged", "left-out", "renamed", "leaving", "other-files"}), ("in step", second.in_step)]
     found = spark.createDataFrame(rows, "name STRING, ok BOOLEAN").withColumn("notes", F.lit(None).cast("long"))
@@ -152,7 +155,7 @@ l AS (SELECT path, CASE WHEN path LIKE '%.txt' THEN 'other' ELSE 'note' END AS k
 k AS (SELECT * FROM f WHERE doc_id % 40 NOT IN (3, 5, 7, 9, 11)),
 w AS (SELECT *, len(regexp_extract_all(regexp_replace(text, '(^|\\n)#+ [^\\n]*', '', 'g'), '\\S+')) >= 3 AS enough FROM k)"""
 _TRUE = ["notes", "passages", "vectors", "postings", "lengths", "left_out", "disk-matches-manifest", "nothing-pending", "nothing-skipped", "counts-add-up", "passages-match", "vectors-current",
-         "exact-words-match", "no-old-text", "versions-match", "verify-every-id", "verify-spot-check", "verify-exact-words", "verify-sidecar", "nothing left to do", "in step"]
+         "exact-words-match", "no-old-text", "versions-match", "verify-every-id", "verify-spot-check", "verify-exact-words", "verify-sidecar", "search finds the planted word", "nothing left to do", "in step"]
 ORACLES = {
     "vault_listing": f"{_FILES} SELECT * FROM l",
     "vault_left_out": f"{_FILES} SELECT reason, count(*) AS notes FROM l WHERE reason IS NOT NULL GROUP BY 1",

@@ -10,6 +10,7 @@ from notefold.functions.vectors import vector_ok
 from notefold.operators import bm25 as b
 from notefold.operators import cosine as c
 from notefold.operators import postings as p
+from notefold.operators.numbering import stratified
 from notefold.operators.passages import live_passages
 from notefold.operators.recall import recall_at_k
 from notefold.plans import sql
@@ -178,20 +179,7 @@ def densest_passages(spark: SparkSession, d: str) -> DataFrame:
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """50 positions spread evenly over the vectors, each with its vector's number."""
     distinct = _table(spark, d, "passage_vectors").select("vec").distinct()
-    total = distinct.count()
-    wanted = spark.createDataFrame([(s, s * total // 50) for s in range(50 if total else 0)], "sample INT, ordinal LONG")
-    return numbered(distinct, "vec").join(F.broadcast(wanted), "ordinal").select("sample", "ordinal", "vec")
-
-
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with their place in the order of a unique key, without putting all rows into one task."""
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    return ranged.join(F.broadcast(starts), "_p").withColumn("ordinal", F.coalesce("_start", F.lit(0)) + F.col("_k")).drop("_p", "_k", "_n", "_start")
+    return stratified(distinct, 50, "vec").select("sample", "ordinal", "vec")
 
 
 QUERIES = {

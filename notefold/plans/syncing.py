@@ -66,6 +66,14 @@ def sync_shallow(spark: SparkSession, d: str) -> DataFrame:
     return p.shallow_plan(listing(spark, d), manifest(spark, d)).select("path", "action")
 
 
+def sync_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """A look where the notes below Garden weren't indexed: the last run had left them out as empty."""
+    before = manifest(spark, d)
+    garden = F.startswith("path", F.lit("Garden/"))
+    left = before.where(garden).select(p.path_hash("path").alias("note_hash"), F.lit("empty").alias("reason"), "size", "mtime_ms", "racy")
+    return p.shallow_plan(listing(spark, d), before.where(~garden), left).select("path", "action", "reason")
+
+
 def sync_counts(spark: SparkSession, d: str) -> DataFrame:
     return p.plan_counts(p.full_plan(listing(spark, d), manifest(spark, d), unreadable=_unreadable(spark)))
 
@@ -161,15 +169,25 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status(spark: SparkSession, d: str) -> DataFrame:
+    """The checks of an index whose parts are these tables: each of its inputs is read from them.
+
+    What was built from which state is told by the greatest position stored, a run that didn't end
+    well by the run table, another version by a vector of another length.
+    """
     live = passages(spark, d)
     recorded = live.groupBy("path").agg(F.count(F.lit(1)).alias("passages"))
+    vectors = live_vectors(spark, d).where(F.col("vector").isNotNull())
+    stored, built = (_table(spark, d, t).agg(F.max("vec")).first()[0] for t in ("stored_passages", "passage_vectors"))
+    last = _table(spark, d, "sync_runs").where(F.col("started_ms").isNotNull()).agg(F.max_by("status", F.struct("started_ms", "run_id"))).first()[0]
     given = StatusInput(
         plan=p.shallow_plan(listing(spark, d), manifest(spark, d)),
         manifest=recorded,
-        vectors=live_vectors(spark, d).where(F.col("vector").isNotNull()).select("path", "n"),
+        vectors=vectors.select("path", "n"),
         postings=post.doc_lengths(live).select("path", "n"),
-        dead_records=0,
-        stamps={"index": "1:7", "vectors": "1:7", "postings": "1:7"},
+        dead_records=vectors.join(live.select("path", "n"), ["path", "n"], "left_anti").count(),
+        skipped_last_run=int(last != "ok"),
+        stamps={"index": str(stored), "vectors": str(built), "postings": str(stored)},
+        versions_match=vectors.where(F.size("vector") != 64).isEmpty(),
     )
     return status_checks(spark, given)
 
@@ -177,7 +195,7 @@ def status(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sync_classify, sync_shallow, sync_counts, saved_counts, rename_pairs, left_out_counts, safety_stop, name_repeat_flag, duplicate_paths, exclude_under, path_hashes, embed_order,
+        sync_classify, sync_shallow, sync_left_out, sync_counts, saved_counts, rename_pairs, left_out_counts, safety_stop, name_repeat_flag, duplicate_paths, exclude_under, path_hashes, embed_order,
         content_copies, run_medians, events_last_put, screen, mask, url_hosts, links, status,
     )
 }
@@ -215,6 +233,9 @@ _FLAGS = "CASE WHEN doc_id % 8 < 5 THEN 'possible-secret' WHEN doc_id % 8 < 7 TH
 ORACLES = {
     "sync_classify": f"{_PLAN} SELECT path, action, reason FROM pl",
     "sync_shallow": f"WITH {_SNAP} SELECT path, CASE WHEN NOT on_disk THEN 'removed' {_LEFT} WHEN same THEN 'unchanged' WHEN indexed THEN 'changed' ELSE 'new' END AS action FROM fo",
+    "sync_left_out": f"""WITH {_SNAP},
+g AS (SELECT path, on_disk, indexed AND NOT path LIKE 'Garden/%' AS indexed, same, CASE WHEN reason IS NULL AND path LIKE 'Garden/%' AND indexed AND on_disk AND same_meta THEN 'empty' ELSE reason END AS reason FROM fo WHERE on_disk OR NOT path LIKE 'Garden/%')
+SELECT path, CASE WHEN NOT on_disk THEN 'removed' {_LEFT} WHEN indexed AND same THEN 'unchanged' WHEN indexed THEN 'changed' ELSE 'new' END AS action, reason FROM g""",
     "sync_counts": f"{_PLAN} SELECT action, count(*) AS notes FROM pl GROUP BY 1",
     "saved_counts": f"""{_PLAN} SELECT action, count(*) AS planned, count(*) FILTER (sha256 IS NOT NULL AND lower(split_part(path, '/', -1))[1:1] <= 'm') AS saved FROM pl WHERE action IN ('added', 'updated') GROUP BY 1""",
     "rename_pairs": f"{_PLAN}{_RENAMES} SELECT * FROM rn",
@@ -239,7 +260,7 @@ g AS (SELECT path, n, CASE WHEN NOT coalesce(recovered, false) AND coalesce(c[-1
 SELECT path, n, CASE WHEN NOT contains(path, '#') THEN 'obsidian://open?vault=My%20notes&file=' || {_ENC.format(x="CASE WHEN part IS NOT NULL THEN file || '#' || part ELSE file END")} END AS link FROM g""",
     "status": f"""WITH {_SNAP}, {sql.LIVE},
 sh AS (SELECT path, CASE WHEN NOT on_disk THEN 'removed' {_LEFT} WHEN same THEN 'unchanged' WHEN indexed THEN 'changed' ELSE 'new' END AS action FROM fo),
-lv AS (SELECT path, n FROM (SELECT *, row_number() OVER (PARTITION BY path, n ORDER BY vec DESC) AS k FROM passage_vectors) WHERE k = 1 AND embedding IS NOT NULL),
+lv AS (SELECT path, n, len(embedding) AS length FROM (SELECT *, row_number() OVER (PARTITION BY path, n ORDER BY vec DESC) AS k FROM passage_vectors) WHERE k = 1 AND embedding IS NOT NULL),
 c AS (SELECT count(*) FILTER (action = 'new') AS nw, count(*) FILTER (action = 'changed') AS ch, count(*) FILTER (action IN ('removed', 'dropped')) AS rm, count(*) FILTER (action IN ('left-out', 'dropped')) AS lo, count(*) FILTER (action <> 'removed') AS seen FROM sh),
 m AS (SELECT count(DISTINCT path) AS notes, count(*) AS passages FROM live),
 e AS (SELECT (SELECT count(*) FROM lv) AS vectors,
@@ -247,12 +268,12 @@ e AS (SELECT (SELECT count(*) FROM lv) AS vectors,
 SELECT * FROM (
   SELECT 'disk-matches-manifest' AS name, nw = 0 AND rm = 0 AS ok FROM c UNION ALL
   SELECT 'nothing-pending', nw + ch + rm = 0 FROM c UNION ALL
-  SELECT 'nothing-skipped', true UNION ALL
+  SELECT 'nothing-skipped', (SELECT status = 'ok' FROM sync_runs WHERE started_ms IS NOT NULL ORDER BY started_ms DESC, run_id DESC LIMIT 1) OR nw + ch + rm = 0 FROM c UNION ALL
   SELECT 'counts-add-up', seen = notes + lo FROM c, m UNION ALL
   SELECT 'passages-match', passages = vectors FROM m, e UNION ALL
-  SELECT 'vectors-current', true UNION ALL
-  SELECT 'exact-words-match', true UNION ALL
-  SELECT 'no-old-text', true UNION ALL
-  SELECT 'versions-match', true UNION ALL
+  SELECT 'vectors-current', (SELECT max(vec) FROM stored_passages) = (SELECT max(vec) FROM passage_vectors) UNION ALL
+  SELECT 'exact-words-match', (SELECT count(*) FROM live) = (SELECT count(*) FROM (SELECT DISTINCT path, n FROM live)) UNION ALL
+  SELECT 'no-old-text', (SELECT count(*) FROM lv WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.path = lv.path AND l.n = lv.n)) = 0 UNION ALL
+  SELECT 'versions-match', (SELECT count(*) FROM lv WHERE length <> 64) = 0 UNION ALL
   SELECT 'verify-every-id', differ = 0 FROM e)""",
 }

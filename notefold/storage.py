@@ -1,8 +1,8 @@
 """The shared working folder, written tables and a target with atomically published versions.
 
 Everything that outlives a job goes below the folder named by ``spark.checkpoint.dir``, which all
-executors of a cluster share. Only where that setting is missing (tests, a laptop) a local folder
-is made once for the session.
+executors of a cluster share. Only on a single machine without that setting (tests, a laptop) a local
+folder is made once for the session.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="notefold-")
