@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from notefold.chunker.chunk import Settings
@@ -51,6 +51,13 @@ class Answer:
     notices: list[str]
 
 
+def _counted(scratch: Scratch, rows: DataFrame, name: str, counts: dict[str, Column], sums: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Rows written to a scratch table, and what was counted of them on the way."""
+    seen = Observation()
+    made = [F.count_if(c).alias(k) for k, c in counts.items()] + [F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in (sums or {}).items()]
+    return scratch.table(rows.observe(seen, *made), name), seen.get
+
+
 class Index:
     """``root`` holds the notes and is only read; ``out`` holds the index and is only written here."""
 
@@ -91,8 +98,8 @@ class Index:
         looked = p.classify(notes, manifest, left, shallow=False).withColumn("kind", F.lit("note"))
         return looked.unionByName(rows.where("kind <> 'note'").select("path", "kind"), allowMissingColumns=True)
 
-    def _plan(self, looked: DataFrame, to_read: int, any_unreadable: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-        """The plan, and the notes whose bytes had to be read with their passages."""
+    def _plan(self, looked: DataFrame, to_read: int, any_unreadable: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+        """The plan, the notes whose bytes had to be read with their passages, and the notes by action."""
         notes = looked.where("kind = 'note'")
         todo = notes.where(F.col("action").isin("new", "changed")).select("path", "fip", "abs", "size", "mtime_ms")
         chunked = scratch.table(chunk_notes(read_bytes(spread(todo, to_read)), self.settings), "chunked")
@@ -104,7 +111,9 @@ class Index:
         plan = p.settled(seen, looked.where("kind = 'unreadable'").select("path") if any_unreadable else None)
         lost = F.coalesce(F.col("why") == "unreadable", F.lit(False))
         plan = plan.withColumn("reason", F.when(lost, "unreadable").otherwise(F.col("reason"))).withColumn("action", F.when(lost, "skipped").otherwise(F.col("action")))
-        return scratch.table(plan.drop("why", "abs", "kind"), "plan"), chunked
+        kinds = {a: F.col("action") == a for a in p.ACTIONS} | {"seen": F.col("on_disk").isNotNull(), "indexed": F.col("indexed").isNotNull()}
+        plan, found = _counted(scratch, plan.drop("why", "abs", "kind"), "plan", kinds)
+        return plan, chunked, found
 
     def sync(self, verify: bool = False, allow_mass_delete: bool = False, full: bool = False, now_ms: int | None = None) -> SyncResult:
         """Bring the index in step. Only notes that changed are read, cut, embedded and rewritten."""
@@ -119,16 +128,13 @@ class Index:
         made_with = self._versions()
         full = full or bool(state.number) and state.meta.get("made_with") != made_with
         looked = self._first_look(State(state.number, state.counter) if full else state, scratch.table(self.listing(), "listing"), verify)
-        first = {(r["kind"], r["action"]): r["notes"] for r in looked.groupBy("kind", "action").agg(F.count(F.lit(1)).alias("notes")).collect()}
-        seen_now = {action: n for (kind, action), n in first.items() if kind == "note"}
-        other = {"other-files": first.get(("other", None), 0)}
+        looked, first = _counted(scratch, looked, "looked", {a: (F.col("kind") == "note") & (F.col("action") == a) for a in p.FIRST_ACTIONS} | {k: F.col("kind") == k for k in ("other", "unreadable")})
+        seen_now = {a: first[a] for a in p.FIRST_ACTIONS if first[a]}
+        other = {"other-files": first["other"]}
         if state.number and not full and seen_now and set(seen_now) <= {"unchanged", "left-out", "kept"} and not state.meta.get("skipped"):
             return SyncResult(True, seen_now | {"renamed": 0, "leaving": 0} | other, 0, state.stamp)  # nothing to read, nothing to write
-        looked, to_read = scratch.table(looked, "looked"), seen_now.get("new", 0) + seen_now.get("changed", 0)
-        plan, chunked = self._plan(looked, to_read, ("unreadable", None) in first, scratch)
-        groups = plan.groupBy("action").agg(F.count(F.lit(1)).alias("notes"), F.count("on_disk").alias("seen"), F.count("indexed").alias("indexed")).collect()
-        counts = {r["action"]: r["notes"] for r in groups}
-        seen, indexed = sum(r["seen"] for r in groups), sum(r["indexed"] for r in groups)
+        plan, chunked, found = self._plan(looked, first["new"] + first["changed"], bool(first["unreadable"]), scratch)
+        counts, seen, indexed = {a: found[a] for a in p.ACTIONS if found[a]}, found["seen"], found["indexed"]
         if full:
             old = self.store.read("notes", state).select("path")
             indexed = old.count()
@@ -143,11 +149,13 @@ class Index:
         now = F.lit(now_ms) if now_ms is not None else (F.unix_millis(F.current_timestamp()))
         work = plan.where(F.col("action").isin("added", "updated"))
         passages = explode_passages(chunked.join(work.select("path"), "path", "left_semi"))
-        passages = scratch.table(embed_passages(spread(passages, 4 * to_read).withColumn("flags", screen_flags("text")), self.make), "embedded")
-        by_note = passages.groupBy("path").agg(F.count_if(F.col("vector").isNull()).alias("lost"), F.count(F.lit(1)).alias("passages"), F.sum(F.length("embed_text")).alias("bytes"))
-        did = by_note.agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("lost") > 0).alias("failed"), F.sum("passages").alias("passages"), F.sum("bytes").alias("bytes")).first()
-        if did["failed"] > MOST_FAILED or (did["notes"] >= 8 and did["failed"] >= FAILED_SHARE * did["notes"]):
-            raise EmbeddingFails(f"{did['failed']} of {did['notes']} notes got no vector")
+        passages = embed_passages(spread(passages, 4 * (first["new"] + first["changed"])).withColumn("flags", screen_flags("text")), self.make)
+        passages, did = _counted(scratch, passages, "embedded", {"passages": F.lit(True), "lost": F.col("vector").isNull()}, {"bytes": F.length("embed_text")})
+        if did["lost"]:
+            lost = passages.groupBy("path").agg(F.count_if(F.col("vector").isNull()).alias("lost"))
+            notes = lost.agg(F.count(F.lit(1)).alias("done"), F.count_if(F.col("lost") > 0).alias("failed")).first()
+            if notes["failed"] > MOST_FAILED or (notes["done"] >= 8 and notes["failed"] >= FAILED_SHARE * notes["done"]):
+                raise EmbeddingFails(f"{notes['failed']} of {notes['done']} notes got no vector")
         per_note = passages.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("passages"), F.count_if(F.size("flags") > 0).cast("int").alias("flagged"))
         facts = chunked.select("path", "title", "aliases", "tags")
         meta_now = work.select("path", "sha256", "size", "mtime_ms", p.is_racy(now, F.col("mtime_ms")).alias("racy"), "fip")
@@ -172,11 +180,11 @@ class Index:
         skipped = [r["path"] for r in plan.where("action = 'skipped'").select("path").orderBy("path").limit(MOST_LISTED).collect()] if n_skipped else []
         meta = {"made_with": made_with, "skipped": n_skipped, "counts": counts, "renamed": renamed}
         if content or counts.get("touched") or not state.number or meta != state.meta:
-            state = self.store.commit(state, changes, meta, content, did["bytes"] or 0)
+            state = self.store.commit(state, changes, meta, content, did["bytes"])
         warnings = [f"{e!r} is set to be left out, but nothing has that name" for e in unmatched(looked, self.root, self.exclude)]
         if n_skipped > len(skipped):
             warnings.append(f"{n_skipped - len(skipped)} more notes were skipped than are listed")
-        return SyncResult(not n_skipped, counts | {"renamed": renamed, "leaving": totals.leaving} | other, did["passages"] or 0, state.stamp, skipped, warnings)
+        return SyncResult(not n_skipped, counts | {"renamed": renamed, "leaving": totals.leaving} | other, did["passages"], state.stamp, skipped, warnings)
 
     def _left_out(self, plan: DataFrame, now, state: State) -> Change:
         """What is left out for its content, by the hash of its name only; what hasn't changed stays where it is."""
@@ -251,7 +259,7 @@ class Index:
         notes = self.store.read("notes", state)
         if verify:
             looked = scratch.table(self._first_look(state, scratch.table(self.listing(), "listing"), True), "looked")
-            plan, chunked = self._plan(looked, looked.where(F.col("action").isin("new", "changed")).count(), True, scratch)
+            plan, chunked, _ = self._plan(looked, looked.where(F.col("action").isin("new", "changed")).count(), True, scratch)
             plan = plan.replace({"added": "new", "updated": "changed", "touched": "unchanged"}, subset=["action"])
         else:
             plan = p.shallow_plan(self.listing().where("kind = 'note'").select("path", "size", "mtime_ms", "reason"), notes.select("path", "sha256", "size", "mtime_ms", "racy", "fip"), self.store.read("left_out", state))

@@ -18,6 +18,8 @@ from notefold.operators.numbering import numbered
 
 RACY_MS = 2_000
 MASS_COUNT, MASS_SHARE = 10, 0.2
+FIRST_ACTIONS = ("unchanged", "new", "changed", "removed", "dropped", "kept", "left-out")
+ACTIONS = ("unchanged", "touched", "added", "updated", "removed", "dropped", "kept", "left-out", "skipped")
 
 
 def base_name(key: Column | str = "path") -> Column:

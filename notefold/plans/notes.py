@@ -98,8 +98,8 @@ SELECT path, regexp_replace(string_split(path, '/')[-1], '(?i)\.md$', '') AS tit
   array_to_string(list_filter(list_transform(string_split(regexp_extract(block, '(?:^|\n)alias(?:es)?: *\[([^\]]*)\]', 1), ','), lambda y: trim(y)), lambda y: y <> ''), ', ') AS aliases,
   array_to_string(list_filter(list_transform(string_split(regexp_extract(block, '(?:^|\n)tags?:((?:\n +- [^\n]+)+)', 1), chr(10)), lambda y: trim(regexp_replace(y, '^ *- ', ''))), lambda y: y <> ''), ', ') AS tags
 FROM p"""
-# Of these notes those with fewer than three words beside headings have no section with three.
-_LEFT_OUT = rf"SELECT {_NOTE} AS path, 'empty' AS reason FROM documents WHERE len(regexp_extract_all(regexp_replace(coalesce(text, ''), '(^|\n)#+ [^\n]*', '', 'g'), '\S+')) < 3"
+# Of these notes those with fewer than three words beside properties and headings have no section with three.
+_LEFT_OUT = rf"SELECT {_NOTE} AS path, 'empty' AS reason FROM documents WHERE len(regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '^---\r?\n(?s:.*?)\n---\r?(\n|$)', ''), '(^|\n)#+ [^\n]*', '', 'g'), '\S+')) < 3"
 ORACLES = {
     "chunk_passages_hold": f"SELECT {_NOTE} AS path, true AS all_fit, true AS numbered, true AS in_order, true AS of_the_note FROM documents",
     "chunk_notes_left_out": _LEFT_OUT,

@@ -127,7 +127,7 @@ class _Folder(InputPartition):
 
 
 class VaultReader(DataSourceReader):
-    PARTITIONS = 32
+    PARTITIONS = 16
 
     def __init__(self, options: dict):
         self.root = os.path.realpath(options["path"])
