@@ -6,7 +6,7 @@ import logging
 import os
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -286,6 +286,8 @@ class Index:
             state = self.store.state()
             passages = self.store.read("passages", state)
             every = passages.select("path").distinct()
+            # What is made again is never read: it may be damaged.
+            state = replace(state, tables=state.tables | {"postings": {}, "lengths": {}}, sizes=state.sizes | {"postings": {}, "lengths": {}})
             changes = {
                 "postings": Change(every, postings(passages).withColumn("tf", F.col("tf").cast("int"))),
                 "lengths": Change(every, doc_lengths(passages).withColumn("doc_len", F.col("doc_len").cast("int"))),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notefold.storage import Version, VersionedTarget, clustered_table, fresh_path
+from notefold.storage import Scratch, Version, VersionedTarget, fresh_path
 
 TARGET = T.StructType(
     [
@@ -89,8 +89,9 @@ def replay(spark: SparkSession, source: DataFrame, runs: DataFrame, root: str |
     is control data of a few rows, read to the driver; the records never are.
     """
     target = VersionedTarget(spark, root or fresh_path(spark, "incremental"), TARGET)
-    source = clustered_table(source.select("path", "sha256", "seen_ms", "scan_id", "arrived_ms"), "path", "scans")
     good = runs.where((F.col("status") == "ok") & F.col("started_ms").isNotNull()).select("run_id", "started_ms").distinct()
-    for r in sorted(good.collect(), key=lambda r: (r["started_ms"], r["run_id"])):
-        run_once(source, target, Run(r["run_id"], r["started_ms"]))
+    with Scratch(spark) as scratch:
+        source = scratch.clustered(source.select("path", "sha256", "seen_ms", "scan_id", "arrived_ms"), "path", "scans")
+        for r in sorted(good.collect(), key=lambda r: (r["started_ms"], r["run_id"])):
+            run_once(source, target, Run(r["run_id"], r["started_ms"]))
     return target.outputs().select("run_id", "path")

@@ -14,7 +14,7 @@ from notefold.operators.numbering import stratified
 from notefold.operators.passages import live_passages
 from notefold.operators.recall import recall_at_k
 from notefold.plans import sql
-from notefold.storage import write_table
+from notefold.storage import evenly, write_table
 
 DIMS = 64
 QUESTIONS = [
@@ -35,7 +35,8 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens_count(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.size(tokens("text")).alias("n_tokens"))
+    rows = evenly(_table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text"))
+    return rows.select("doc_id", F.size(tokens("text")).alias("n_tokens"))
 
 
 def distinctive_count(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +89,12 @@ def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.exists(p.phrase_fields(p.fields()), lambda f: F.contains(f, F.lit(" last meeting ")))
-    return passages(spark, d).where(hit).select("path", "n")
+    """The passages that hold the quoted phrases of each question that has some, all of them."""
+    asked = {r["wording"]: [f" {' '.join(p)} " for p in r["phrases"]] for r in b.wordings_table(spark, QUESTIONS).collect() if r["phrases"]}
+    rows = passages(spark, d).select("path", "n", p.phrase_fields(p.fields()).alias("padded"))
+    holds = lambda phrase: F.exists("padded", lambda f: F.contains(f, F.lit(phrase)))
+    hit = [F.when(F.array_min(F.array(*[holds(x) for x in phrases])), F.lit(w)) for w, phrases in asked.items()]
+    return rows.select(F.explode(F.array_compact(F.array(*hit))).alias("wording"), "path", "n")
 
 
 def _exact(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +243,9 @@ ORACLES = {
     "questions_read": f"WITH {_ASK} SELECT wording, array_to_string(words, ' ') AS words, coalesce((SELECT string_agg(array_to_string(tok, ' '), '/') FROM phr WHERE phr.wording = qw.wording), '') AS phrases FROM qw",
     "bm25_scores": f"{_SCORES} SELECT wording, path, n, round(score, 6) AS score FROM scores",
     "bm25_top10": f"{_SCORES} SELECT wording, path, n, rank, round(score, 6) AS score FROM ranks WHERE rank <= 10",
-    "phrase_match": f"WITH {sql.LIVE} SELECT path, n FROM live WHERE len(list_filter({_PAD}, lambda f: contains(f, ' last meeting '))) > 0",
+    "phrase_match": f"""WITH {sql.LIVE}, {_ASK}
+SELECT q.wording::INT AS wording, l.path, l.n FROM live l, (SELECT DISTINCT wording FROM phr) q
+WHERE NOT EXISTS (SELECT 1 FROM phr WHERE phr.wording = q.wording AND len(list_filter({_PAD.replace("[title]", "[l.title]").replace("trail,", "l.trail,").replace("[text]", "[l.text]")}, lambda f: contains(f, ' ' || array_to_string(phr.tok, ' ') || ' '))) = 0)""",
     "exact_words_per_wording": f"{_EXACT} SELECT wording, place, path, n, round(score, 6) AS score, array_to_string(words, ' ') AS words FROM ex",
     "exact_words_interleaved": f"{_EXACT} SELECT pos, wording, path, n, round(score, 6) AS score FROM inter",
     "exact_not_shown": f"{_EXACT} SELECT row_number() OVER (ORDER BY pos) AS rank, path, n FROM inter WHERE pos >= 2 ORDER BY pos LIMIT 3",

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+SPLIT_BYTES = 32 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,36 +55,50 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def evenly(rows: DataFrame) -> DataFrame:
+    """A small input over all cores: a file of one row group is one task's, however many cores there are.
+
+    By the plan's own estimate of its size; an input with ``SPLIT_BYTES`` for each core has splits
+    enough, and is left as it lies: it is never shuffled for this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
+
+
 class Scratch:
     """Tables that are needed only until a piece of work is done; then they are deleted."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, fresh_path(spark, "scratch")
+        self.names: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clustered(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """As ``table``, in hash buckets of ``key``, sorted within them.
+
+        Aggregates and joins on ``key`` then need no shuffle of these rows, however often they are read.
+        """
+        table = f"{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+        rows.option("path", f"{self.root}/{table}").saveAsTable(table)
+        self.names.append(table)
+        return self.spark.table(table)
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for table in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         _Files(self.spark, self.root).delete(self.root)
 
 
-def clustered_table(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As ``write_table``, in hash buckets of ``key``, sorted within them.
-
-    Aggregates and joins on ``key`` then need no shuffle of these rows, however often they are read.
-    """
-    spark = df.sparkSession
-    path, table = fresh_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
-    return spark.table(table)
-
-
 class _Files:
     """The few file-system calls that publishing needs, through Hadoop, so any shared store works."""
 

@@ -372,6 +372,24 @@ def test_asking_brings_a_little_in_step(spark, tmp_path):
     assert any("notes not in step" in n for n in index.ask("boats").notices)
 
 
+def test_damaged_words_cost_one_list_and_are_made_again(spark, tmp_path):
+    root, out = str(tmp_path / "n"), tmp_path / "i"
+    write(root, **{f"N{i}.md": f"apples ripen slowly in autumn number {i}\n" for i in range(20)})
+    index = Index.create(spark, root, str(out))
+    index.sync()
+    assert index.search("apples", 1)[1].count() >= 2
+    for f in out.glob("data-*/postings/*/*.parquet"):
+        f.write_bytes(b"no table")
+    for f in out.glob("data-*/postings/*/.*.crc"):
+        f.unlink()
+    spark.catalog.clearCache()
+    meaning, exact = index.search("apples", 1)
+    assert exact is None and meaning.count() == 1
+    index.rebuild()
+    assert index.search("apples", 1)[1].count() >= 2
+    assert all(r["ok"] for r in index.status().collect())
+
+
 def test_a_stalled_read_is_given_up():
     import time
 
