@@ -36,7 +36,7 @@ class Chain:
         self.first = np.exp([step(EDGE, c) if i < n else 0.0 for i, c in enumerate(every)])
         self.last = np.exp([step(c, "$") if i < n else 0.0 for i, c in enumerate(every)])
         self.move = np.exp([[step(a, b) if i < n or j < n else 0.0 for j, b in enumerate(every)] for i, a in enumerate(every)])
-        self.even = np.concatenate([np.full(n, 1.0 / n), np.zeros(len(ASCII))])
+        self.even = np.concatenate([np.full(n, 1.0 / max(n, 1)), np.zeros(len(ASCII))])
         self.fixed = {c: np.eye(len(every))[self.at[c]] for c in ASCII}
 
     def start(self, symbols: dict[str, float]) -> dict[str, np.ndarray]:
@@ -92,14 +92,14 @@ def chosen(chain: Chain, table: dict[str, np.ndarray], least: float = 0.5) -> di
     return {c: chain.letters[int(p.argmax())] for c, p in table.items() if p.max() >= least}
 
 
-def decipher(chain: Chain, stretches: dict[str, float], rounds: int = 60, close: float = 1e-4) -> tuple[dict[str, np.ndarray], float]:
-    """(table, log likelihood a stretch) of a small set of stretches, all in one place; for tests and trials."""
+def decipher(chain: Chain, stretches: dict[str, float], rounds: int = 60, close: float = 1e-4, least: float = 0.0) -> tuple[dict[str, np.ndarray], float]:
+    """(table, log likelihood a stretch) of a small set of stretches, all in one place; of symbols seen ``least`` times."""
     symbols: dict[str, float] = defaultdict(float)
     for s, n in stretches.items():
         for c in s:
             if c > "\x7f":
                 symbols[c] += n
-    table, before = chain.start(symbols), -math.inf
+    table, before = chain.start({c: x for c, x in symbols.items() if x >= least}), -math.inf
     mass = sum(stretches.values())
     for _ in range(rounds):
         sums = defaultdict(lambda: np.zeros(len(chain.letters)))

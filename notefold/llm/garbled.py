@@ -29,11 +29,15 @@ A line's or a stretch's log odds decide, so one garbled word is found in a clean
 garbled line although each of its words alone could be something else; the rest of a line is then
 tried for further swaps, each stretch in its place.
 
-What reaches the driver is bounded, and cut down on the executors before it is sent: bigrams of
+What reaches the driver is cut down on the executors before it is sent: bigrams of
 letters (Han and other characters beyond U+2BFF are classes, pairs below ``LEAST_SHARE`` of all are
 left out, so there are at most 1 / LEAST_SHARE), counts of single Han characters, sums for each
 (source, swap), and the letters of swaps that are at work. Sources below ``LEAST_SOURCE`` of all
-stretches are taken as one, and at most ``MOST_FREE`` sources get a table from nothing.
+stretches are taken as one, but not where tables are learnt from nothing: every source with
+``FREE_MASS`` stretches for it is looked at by itself, however small its part and however many there
+are. Sources with little text are done in one job, each in one task; the others in rounds over all
+tasks, ``FREE_AT_ONCE`` of them at a time. What grows with the input is a table of letters and sums
+for each source that got one.
 
 Defined results: null and empty texts are not garbled and are restored to themselves; a null source
 is a source of its own; an empty table yields no rows; texts of any length are read whole, line by
@@ -54,7 +58,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notefold.llm.decipher import LETTER_SHARE, Chain, chosen, improved
+from notefold.llm.decipher import LETTER_SHARE, Chain, chosen, decipher, improved
 from notefold.storage import write_table
 
 MOST_ROUNDS = 12  # EM ends earlier, when no more than STEADY of the swaps' shares moves
@@ -62,8 +66,9 @@ STEADY = 1e-2
 PAGE_SEEN = 3.0
 LIKELY_SWAP = 0.05  # from which posterior on a swap's letters are looked at one by one
 # A table from nothing: for sources with so many stretches that nothing explains, of symbols so much more frequent there than elsewhere.
-FREE_MASS, FREE_ODD, FOREIGN, LEAST_SYMBOL, MOST_FREE = 100.0, 0.05, 30.0, 5.0, 100
+FREE_MASS, FREE_ODD, FOREIGN, LEAST_SYMBOL = 100.0, 0.05, 30.0, 5.0
 FREE_ROUNDS, FREE_CLOSE, FREE_BELOW = 60, 1e-4, 1.0
+FREE_GROUP, FREE_AT_ONCE = 20_000, 100  # characters of a source that one task does alone; larger sources that are in the driver at a time
 # Log odds from which a line or a stretch is garbled. A byte group that is a character hardly comes
 # about by chance; another letter in the place of one does, in rare and misspelt words.
 LEAST_ODDS_GROUP = 3.0
@@ -90,6 +95,7 @@ GROUPS = ("utf-8", "gbk")
 LOST = "lost"
 AS_IS = "as is"
 FREE = ("?", "learnt")
+NULL = "\0"  # the null source where it is looked at by itself; None are all that are taken as one
 
 
 def _page(name: str) -> dict[int, str]:
@@ -263,6 +269,7 @@ class Model:
         self.own.add(source)
         self.overall[FREE] += mass - self.usual.get((source, FREE), 0.0)
         self.usual[source, FREE] = mass
+        self.total.setdefault(source, mass)  # it may have been taken as one with others so far
 
     def chain(self, script_: str) -> Chain:
         """The letters of a script with their bigrams."""
@@ -418,28 +425,25 @@ def _summed(sums: dict[tuple, float]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if i < 4 else pa.float64()) for i, c in enumerate(cols)], names=["kind", "source", "a", "b", "x"])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, str, float]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+        yield from zip(*(c.to_pylist() for c in b.columns))
 
 
-def _expect(model_b, foreign: dict[str | None, frozenset] | None = None):
-    """The E step over the distinct stretches and the sums that the M step needs; without those of ``foreign`` symbols."""
-    foreign = foreign or {}
+def _expect(model_b):
+    """The E step over the distinct stretches and the sums that the M step needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_b.value if model_b is not None else None
         sums: dict[tuple, float] = defaultdict(float)
-        for source, stretch, count in _rows(batches):
-            if source in foreign and not foreign[source].isdisjoint(stretch):
-                continue
+        for source, stretch, count, own in _rows(batches):
+            if model is not None and (own, FREE) in model.tables:
+                source = own
             sums["total", source, "", ""] += count
             if model is None:
                 if "\ufffd" not in stretch:
                     for p in pairs_of(stretch):
                         sums["pair", None, p[0], p[1]] += count
-                    for c in _BEYOND.findall(stretch):
-                        sums["symbol", source, c, ""] += count
                 continue
             possible: list[tuple[str, str]] = []
             posterior = _posterior(model, source, stretch, count, possible)
@@ -464,13 +468,13 @@ def _expect(model_b, foreign: dict[str | None, frozenset] | None = None):
 def _gathered(stretches: DataFrame, step, least: float) -> list:
     """The sums of a step, without those that are too small to matter."""
     sums = stretches.mapInArrow(step, _SUMS).groupBy("kind", "source", "a", "b").agg(F.sum("x").alias("x"))
-    bar = F.when(F.col("kind") == "pair", F.lit(least)).when(F.col("kind") == "symbol", F.lit(LEAST_SYMBOL)).when(F.col("kind") == "letter", F.lit(0.5)).otherwise(F.lit(0.0))
+    bar = F.when(F.col("kind") == "pair", F.lit(least)).when(F.col("kind") == "letter", F.lit(0.5)).otherwise(F.lit(0.0))
     return sums.where(F.col("x") >= bar).collect()
 
 
-def _model(rows: list, han: dict[str, float]) -> tuple[Model, dict[str | None, dict[str, float]]]:
-    """The M step; and how often each symbol occurs in each source, where the rows say it."""
-    pairs, usual, total, may, seen, symbols = {}, {}, {}, {}, {}, defaultdict(dict)
+def _model(rows: list, han: dict[str, float]) -> Model:
+    """The M step."""
+    pairs, usual, total, may, seen = {}, {}, {}, {}, {}
     for r in rows:
         if r["kind"] == "pair":
             pairs[r["a"] + r["b"]] = r["x"]
@@ -480,11 +484,9 @@ def _model(rows: list, han: dict[str, float]) -> tuple[Model, dict[str | None, d
             may[r["source"], (r["a"], r["b"])] = r["x"]
         elif r["kind"] == "total":
             total[r["source"]] = r["x"]
-        elif r["kind"] == "symbol":
-            symbols[r["source"]][r["a"]] = r["x"]
         elif r["kind"] == "letter":
             seen.setdefault((r["source"], tuple(r["a"].split(">"))), {}).setdefault(r["b"][0], {})[r["b"][1]] = r["x"]
-    return Model(pairs, han, usual, total, may, seen), symbols
+    return Model(pairs, han, usual, total, may, seen)
 
 
 def _moved(old: Model, new: Model) -> float:
@@ -499,39 +501,40 @@ def learn(documents: DataFrame, most_rounds: int = MOST_ROUNDS) -> Model:
     texts = documents.where(F.col("text").isNotNull()).select("source", "text")
     pieces = texts.select("source", F.explode(F.regexp_extract_all("text", F.lit(f"{STRETCH}|[{HAN}]"), F.lit(0))).alias("stretch"))
     pieces = write_table(pieces.groupBy("source", "stretch").agg(F.count(F.lit(1)).cast("double").alias("n")), "stretches")
-    # Sources with less than LEAST_SOURCE of all stretches are taken as one, so there are at most 1 / LEAST_SOURCE.
+    # Sources with less than LEAST_SOURCE of all stretches are taken as one, so there are at most 1 / LEAST_SOURCE; "own" tells them apart.
     one_han = F.col("stretch").rlike(f"^[{HAN}]$")
     sizes = pieces.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.when(~one_han, F.col("n") * F.length("stretch"))).alias("symbols"))
     every = sizes.agg(F.sum("n").alias("n"), F.sum("symbols").alias("symbols")).first()
     least = LEAST_SHARE * (every["symbols"] or 0)
     large = F.broadcast(sizes.where(F.col("source").isNotNull() & (F.col("n") >= LEAST_SOURCE * (every["n"] or 0))).select("source"))
-    pieces = pieces.join(large.withColumn("large", F.lit(True)), "source", "left").select(F.when(F.col("large"), F.col("source")).alias("source"), "stretch", "n")
+    pieces = pieces.join(large.withColumn("large", F.lit(True)), "source", "left").select(F.when(F.col("large"), F.col("source")).alias("source"), "stretch", "n", F.coalesce("source", F.lit(NULL)).alias("own"))
     han = {r["stretch"]: r["n"] for r in pieces.where(one_han).groupBy("stretch").agg(F.sum("n").alias("n")).collect()}
     stretches = pieces.where(~one_han)
-    model, symbols = _model(_gathered(stretches, _expect(None), least), han)
+    model = _model(_gathered(stretches, _expect(None), least), han)
     for _ in range(most_rounds - 1):
-        new, _ = _model(_gathered(stretches, _expect(spark.sparkContext.broadcast(model)), least), han)
+        new = _model(_gathered(stretches, _expect(spark.sparkContext.broadcast(model)), least), han)
         moved, model = _moved(model, new), new
         if moved <= STEADY:
             break
-    return _with_free_tables(stretches, model, symbols, han, least)
-
-
-def _foreign(model: Model, symbols: dict[str | None, dict[str, float]]) -> dict[str | None, frozenset]:
-    """Of sources that have enough of them: the symbols that are far more frequent there than elsewhere."""
-    every: dict[str, float] = defaultdict(float)
-    for own in symbols.values():
-        for c, x in own.items():
-            every[c] += x
-    n, out = sum(model.total.values()), {}
-    for source, own in symbols.items():
-        here = model.total.get(source, 0.0)
-        if n <= here:
-            continue  # nothing to compare with
-        found = {c: x for c, x in own.items() if x / here > FOREIGN * (every[c] - x) / (n - here)}
-        if sum(found.values()) >= FREE_MASS:
-            out[source] = frozenset(found)
-    return out
+    return _with_free_tables(stretches, model, han, least)
+
+
+def _symbols(rows: DataFrame, source: str) -> DataFrame:
+    """(source, symbol, x): how often each character beyond ASCII is in each source's stretches."""
+    each = F.explode(F.regexp_extract_all("stretch", F.lit(r"[^\x00-\x7f]"), F.lit(0))).alias("symbol")
+    return rows.where(~F.contains("stretch", F.lit("\ufffd"))).select(source, "n", each).groupBy(source, "symbol").agg(F.sum("n").alias("x"))
+
+
+def _foreign(stretches: DataFrame, n: float) -> DataFrame:
+    """(of, foreign): of sources that have enough of them, the symbols that are far more frequent there than elsewhere."""
+    symbols = write_table(_symbols(stretches, "own"), "symbols")
+    every = symbols.groupBy("symbol").agg(F.sum("x").alias("every"))
+    here = stretches.groupBy(F.col("own").alias("of")).agg(F.sum("n").alias("here"))
+    found = symbols.where(F.col("x") >= LEAST_SYMBOL).join(every, "symbol").join(here, F.col("own") == F.col("of"))
+    # A source that is all there is has nothing to be compared with.
+    found = found.where((F.col("here") < n) & (F.col("x") * (n - F.col("here")) > FOREIGN * (F.col("every") - F.col("x")) * F.col("here")))
+    found = found.groupBy("of").agg(F.concat_ws("", F.collect_list("symbol")).alias("foreign"), F.sum("x").alias("mass"))
+    return write_table(found.where(F.col("mass") >= FREE_MASS).select("of", "foreign"), "foreign")
 
 
 def _odd(stretch: str) -> bool:
@@ -541,56 +544,93 @@ def _odd(stretch: str) -> bool:
     return len(kinds) > 1 or inside or any(a.islower() and b.isupper() and b > "\x7f" for a, b in zip(stretch, stretch[1:]))
 
 
-def _with_free_tables(stretches: DataFrame, model: Model, symbols: dict, han: dict[str, float], least: float) -> Model:
+def _with_free_tables(stretches: DataFrame, model: Model, han: dict[str, float], least: float) -> Model:
     """The model, with tables for what no known page explains."""
-    foreign = _foreign(model, symbols)
-    if not foreign:
+    foreign = _foreign(stretches, sum(model.total.values()))
+    if foreign.isEmpty():
         return model
     context = stretches.sparkSession.sparkContext
+    has_foreign = F.coalesce(F.expr("translate(stretch, foreign, '') <> stretch"), F.lit(False)).alias("has_foreign")
+    marked = write_table(stretches.join(foreign, F.col("own") == F.col("of"), "left").select(*stretches.columns, has_foreign), "marked")
     # What no foreign symbol is in gives the bigrams to hold readings against.
-    clean, _ = _model(_gathered(stretches, _expect(context.broadcast(model), foreign), least), han)
+    clean = _model(_gathered(marked.where("NOT has_foreign").select(*stretches.columns), _expect(context.broadcast(model)), least), han)
     if not clean.pairs:
         return model
     bar = sum(x * clean._step(p[0], p[1]) for p, x in clean.pairs.items()) / clean.n - FREE_BELOW
-    shared = context.broadcast((clean, foreign, bar))
+    kinds = [k for k in sorted({script(c) for c in clean.right if c > "\x7f"} - {"", "han"}) if len(clean.chain(k).letters) > 4]
+    if not kinds:
+        return model
+    shared = context.broadcast((clean, bar))
 
     def unexplained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean, foreign, bar = shared.value
-        out = []
-        for source, stretch, count in _rows(batches):
-            if source in foreign and not foreign[source].isdisjoint(stretch) and "\ufffd" not in stretch:
-                if not any(r.isascii() or clean.likelihood(r) >= bar * len(pairs_of(r)) for _, r, _ in _readings(stretch)):
-                    out.append((source, stretch, count))
-        cols = list(zip(*out)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["source", "stretch", "n"])
-
-    left = write_table(stretches.mapInArrow(unexplained, "source STRING, stretch STRING, n DOUBLE"), "unexplained")
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, float] = defaultdict(float)
-        for source, stretch, count in _rows(batches):
-            for c in _BEYOND.findall(stretch):
-                sums["symbol", source, c, ""] += count
-            sums["mass", source, "", ""] += count
-            sums["steps", source, "", ""] += count * len(pairs_of(stretch))
-            sums["odd", source, "", ""] += count * _odd(stretch)
-        yield _summed(sums)
-
-    about: dict[str, dict] = defaultdict(dict)
-    for r in _gathered(left, described, least):
-        about[r["kind"]].setdefault(r["source"], {})[r["a"]] = r["x"]
-    mass = {s: x[""] for s, x in about["mass"].items()}
-    share = sum(mass.values()) / MOST_FREE
-    sources = [s for s, x in mass.items() if x >= max(FREE_MASS, share) and about["odd"][s][""] >= FREE_ODD * x and s in about["symbol"]]
-    kinds = [k for k in sorted({script(c) for c in clean.right if c > "\x7f"} - {"", "han"}) if len(clean.chain(k).letters) > 4]
-    if not sources or not kinds:
+        clean, bar = shared.value
+        for b in batches:
+            out = []
+            for source, stretch, count in _rows([b]):
+                if "\ufffd" not in stretch and not any(r.isascii() or clean.likelihood(r) >= bar * len(pairs_of(r)) for _, r, _ in _readings(stretch)):
+                    out.append((source, stretch, count, count * len(pairs_of(stretch)), count * _odd(stretch)))
+            cols = list(zip(*out)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.float64()) for i, c in enumerate(cols)], names=["source", "stretch", "n", "steps", "odd"])
+
+    left = write_table(marked.where("has_foreign").select("own", "stretch", "n").mapInArrow(unexplained, "source STRING, stretch STRING, n DOUBLE, steps DOUBLE, odd DOUBLE"), "unexplained")
+    about = left.groupBy(F.col("source").alias("of")).agg(F.sum("n").alias("mass"), F.sum("steps").alias("steps"), F.sum("odd").alias("odd"), F.sum(F.length("stretch")).alias("size"))
+    about = write_table(about.where((F.col("mass") >= FREE_MASS) & (F.col("odd") >= FREE_ODD * F.col("mass"))), "able")
+    chains = {k: clean.chain(k) for k in kinds}
+    taken = _free_at_once(left, about.where(F.col("size") <= FREE_GROUP), chains, bar)
+    large = about.where(F.col("size") > FREE_GROUP).orderBy("of").collect()
+    for i in range(0, len(large), FREE_AT_ONCE):
+        taken |= _free_in_rounds(left, large[i : i + FREE_AT_ONCE], chains, bar)
+    if not taken:
         return model
-    tables = {(s, k): clean.chain(k).start(about["symbol"][s]) for s in sources for k in kinds}
+    for s, (table, mass) in taken.items():
+        clean.set_free(s, table, mass)
+    for _ in range(2):  # the other swaps' shares, now that there is one more
+        again = _model(_gathered(stretches, _expect(context.broadcast(clean)), least), han)
+        for s, (table, _) in taken.items():
+            again.set_free(s, table, again.usual.get((s, FREE), 0.0))
+        clean = again
+    return clean
+
+
+def _accepted(chains: dict[str, Chain], fits: dict[str, tuple[dict[str, np.ndarray], float]], mass: float, steps: float, bar: float) -> dict[str, str]:
+    """Symbol to letter, in the likeliest script, if what is read that way is as likely as clean text."""
+    best = max(chains, key=lambda k: fits[k][1])
+    table, like = fits[best]
+    return chosen(chains[best], table) if like * mass / steps >= bar else {}
+
+
+def _free_at_once(left: DataFrame, about: DataFrame, chains: dict[str, Chain], bar: float) -> dict[str, tuple[dict[int, str], float]]:
+    """Source to (table, mass): of sources with little text, each wholly in one task."""
+    spark = left.sparkSession
+    chains_b = spark.sparkContext.broadcast(chains)
+
+    def fitted(key: tuple, rows: pa.Table) -> pa.Table:
+        chains = chains_b.value
+        stretches = dict(zip(rows["stretch"].to_pylist(), rows["n"].to_pylist()))
+        fits = {k: decipher(chain, stretches, FREE_ROUNDS, FREE_CLOSE, LEAST_SYMBOL) for k, chain in chains.items()}
+        mass, steps = rows["mass"][0].as_py(), rows["all_steps"][0].as_py()
+        table = _accepted(chains, fits, mass, steps, bar)
+        return pa.table([pa.array([key[0].as_py()], pa.string()), [mass], ["".join(table)], ["".join(table.values())]], names=["source", "mass", "symbols", "letters"])
+
+    rows = left.join(about.select("of", "mass", F.col("steps").alias("all_steps")), F.col("source") == F.col("of")).select("source", "stretch", "n", "mass", "all_steps")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")  # by number: few bytes, but much to do
+    fits = rows.groupBy("source").applyInArrow(fitted, "source STRING, mass DOUBLE, symbols STRING, letters STRING")
+    return {r["source"]: (str.maketrans(r["symbols"], r["letters"]), r["mass"]) for r in fits.where("symbols <> ''").collect()}
+
+
+def _free_in_rounds(left: DataFrame, about: list, chains: dict[str, Chain], bar: float) -> dict[str, tuple[dict[int, str], float]]:
+    """As ``_free_at_once``, of a few sources with any amount of text: each round's E step is shared by all tasks."""
+    context = left.sparkSession.sparkContext
+    mass = {r["of"]: r["mass"] for r in about}
+    here = write_table(left.where(F.col("source").isin(list(mass))).select("source", "stretch", "n"), "unexplained")
+    symbols: dict[str, dict[str, float]] = defaultdict(dict)
+    for r in _symbols(here, "source").where(F.col("x") >= LEAST_SYMBOL).collect():
+        symbols[r["source"]][r["symbol"]] = r["x"]
+    tables = {(s, k): chain.start(symbols[s]) for s in mass for k, chain in chains.items()}
     like: dict[tuple, float] = dict.fromkeys(tables, -math.inf)
     going = set(tables)
-    here = write_table(left.where(F.col("source").isin([s for s in sources if s is not None]) | (F.col("source").isNull() if None in sources else F.lit(False))), "unexplained")
     for _ in range(FREE_ROUNDS):
-        state = context.broadcast(({k: clean.chain(k) for k in kinds}, {k: tables[k] for k in going}))
+        state = context.broadcast((chains, {k: tables[k] for k in going}))
 
         def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chains, tables = state.value
@@ -606,34 +646,25 @@ def _with_free_tables(stretches: DataFrame, model: Model, symbols: dict, han: di
                         sums["free", source, kind, f"{c}{chains[kind].letters[i]}"] += float(x[i])
             yield _summed(sums)
 
-        sums: dict[tuple, dict[str, np.ndarray]] = {k: defaultdict(lambda n=len(clean.chain(k[1]).letters): np.zeros(n)) for k in going}
+        sums: dict[tuple, dict[str, np.ndarray]] = {k: defaultdict(lambda n=len(chains[k[1]].letters): np.zeros(n)) for k in going}
         now: dict[tuple, float] = {}
         totals = here.mapInArrow(expected, _SUMS).groupBy("kind", "source", "a", "b").agg(F.sum("x").alias("x"))
-        for r in totals.collect():  # MOST_FREE sources, symbols and letters of bounded tables
+        for r in totals.collect():  # FREE_AT_ONCE sources, symbols and letters of bounded tables
             k = (r["source"], r["a"])
             if r["kind"] == "like":
                 now[k] = r["x"] / mass[r["source"]]
             else:
-                sums[k][r["b"][0]][clean.chain(r["a"]).at[r["b"][1]]] = r["x"]
+                sums[k][r["b"][0]][chains[r["a"]].at[r["b"][1]]] = r["x"]
         for k in list(going):
             tables[k] = improved(sums[k])
             if now[k] - like[k] < FREE_CLOSE * abs(now[k]):
                 going.discard(k)
             like[k] = now[k]
+        state.unpersist()
         if not going:
             break
-    best = {s: max(kinds, key=lambda k: like[s, k]) for s in sources}
-    taken = {(s, FREE): str.maketrans(chosen(clean.chain(best[s]), tables[s, best[s]])) for s in sources if like[s, best[s]] * mass[s] / about["steps"][s][""] >= bar}
-    if not taken:
-        return model
-    for s, _ in taken:
-        clean.set_free(s, taken[s, FREE], mass[s])
-    for _ in range(2):  # the other swaps' shares, now that there is one more
-        again, _ = _model(_gathered(stretches, _expect(context.broadcast(clean)), least), han)
-        for s, _ in taken:
-            again.set_free(s, taken[s, FREE], again.usual.get((s, FREE), 0.0))
-        clean = again
-    return clean
+    found = {r["of"]: _accepted(chains, {k: (tables[r["of"], k], like[r["of"], k]) for k in chains}, r["mass"], r["steps"], bar) for r in about}
+    return {s: (str.maketrans("".join(table), "".join(table.values())), mass[s]) for s, table in found.items() if table}
 
 
 def _least(swap: tuple[str, str]) -> float:
@@ -707,6 +738,8 @@ def repair(documents: DataFrame) -> DataFrame:
                     swaps.append([])
                     texts.append(text)
                     continue
+                if source is None and NULL in model.own:
+                    source = NULL
                 lines = [judge_line(model, source, x) if not x.isascii() else ([], x) for x in text.split("\n")]
                 swaps.append(sorted({s for found, _ in lines for s in found}))
                 texts.append("\n".join(x for _, x in lines))

@@ -92,3 +92,64 @@ def test_garbled_many_times():
     for _ in range(6):
         text = text.encode("utf-8").decode("latin-1")
     assert g.undo(text, ("cp1252", "utf-8")) == "für"
+
+
+def on_page(lang: str, first: int) -> dict[int, str]:
+    """A page of no name, as ``permuted``, whose signs are those from ``first`` on."""
+    letters = sorted({x for w in WORDS[lang] for c in w if c > "\x7f" for x in (c, c.upper()) if len(x) == 1})
+    signs = [chr(first + i) for i in range(len(letters))]
+    random.Random(first).shuffle(signs)
+    return str.maketrans(dict(zip(letters, signs)))
+
+
+def with_pages(sizes: dict[str | None, int]) -> tuple[list, dict]:
+    """A corpus with documents of a page of its own for each source; rows, and by source what was written."""
+    rng = random.Random(21)
+    rows, _, _ = corpus(rng, 500)
+    truth: dict = {s: {} for s in sizes}
+    for k, (source, n) in enumerate(sizes.items()):
+        for i in range(n):
+            doc = 10_000 * (k + 1) + i
+            truth[source][doc] = " ".join(rng.choices(WORDS["ru"], k=20))
+            rows.append((doc, truth[source][doc].translate(on_page("ru", 0x100 + 0x50 * k)), source, ""))
+    return rows, truth
+
+
+def restored(out: dict, truth: dict) -> float:
+    right = [a == b for i in truth for a, b in zip(out[i]["restored"].split(), truth[i].split())]
+    return sum(right) / len(right)
+
+
+def test_a_source_has_its_table_however_much_others_have(spark):
+    rows, truth = with_pages({"much": 900, "little": 8})
+    out = {r["doc_id"]: r for r in g.repair(spark.createDataFrame(rows, DOC)).collect()}
+    for source in truth:
+        assert all(out[i]["swaps"] == ["?>learnt"] for i in truth[source]), source
+        assert restored(out, truth[source]) >= 0.9, source
+
+
+def test_small_parts_of_all_have_tables_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(g, "LEAST_SOURCE", 0.05)
+    rows, truth = with_pages({"little": 20, "as little": 20, None: 20})
+    rows += [(90_000 + i, r[1], "clean and little", "") for i, r in enumerate(rows[1:12])]
+    out = {r["doc_id"]: r for r in g.repair(spark.createDataFrame(rows, DOC)).collect()}
+    for source in truth:
+        assert all(out[i]["swaps"] == ["?>learnt"] for i in truth[source]), source
+        assert restored(out, truth[source]) >= 0.9, source
+    assert not any(r["garbled"] for i, r in out.items() if i >= 90_000)
+
+
+def test_tables_are_the_same_in_one_task_and_in_rounds_of_few(spark, monkeypatch):
+    rows, _ = with_pages({"one": 60, None: 50, "three": 40})
+    documents = spark.createDataFrame(rows, DOC)
+    found = []
+    for group, at_once in ((10**9, 1), (0, 2)):
+        monkeypatch.setattr(g, "FREE_GROUP", group)
+        monkeypatch.setattr(g, "FREE_AT_ONCE", at_once)
+        found.append({s: t for (s, swap), t in g.learn(documents).tables.items() if swap == g.FREE})
+    assert found[0].keys() == {"one", g.NULL, "three"} and found[0] == found[1]
+
+
+def test_a_script_of_which_there_is_too_little_has_no_letters():
+    chain = g.Chain({}, lambda a, b: -1.0)
+    assert chain.letters == [] and chain.start({"ü": 9.0})["ü"].size == 0
