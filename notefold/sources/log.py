@@ -2,33 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notefold.storage import write_table
+
 RECORD = (
     "v INT, op STRING, path STRING, sha256 STRING, size LONG, mtimeMs LONG, fip BOOLEAN, title STRING, "
     "passages ARRAY<STRUCT<n: INT, trail: ARRAY<STRING>, heads: ARRAY<STRING>, rep: BOOLEAN, line: INT, text: STRING, vec: LONG, flags: ARRAY<STRING>, recovered: BOOLEAN>>"
 )
 
 
-def log_lines(files: DataFrame) -> DataFrame:
-    """(file, pos, r): the whole records of log files (file, value: all of its text), each with its line's number.
+def log_text(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
+    """(file, block, value): the lines of log files, however a scan splits these; ``block`` is where a line's split starts."""
+    lines = spark.read.options(**options).option("lineSep", "\n").text(paths)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def log_lines(lines: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(file, pos, r): the whole records of log files (their lines, by ``log_text``), each with its line's number.
 
     A file is read up to its first torn or unreadable line, as a log that broke off there: what stands
     behind it isn't told apart from what was never finished. Blank lines count but are no records.
-    A file is one row, so its order doesn't hang on how a scan is split; logs are to be rotated.
+    Lines are parsed once, in the tasks that read them, and ``keep`` writes them as a table: a split's
+    lines are numbered in their order there, whatever reads them later. What is sent to all tasks is a
+    row for each split, with the lines before it and its first torn one.
     """
-    lines = files.select("file", F.transform(F.split("value", "\n"), lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("line"), F.from_json(x, RECORD).alias("r"))).alias("lines"))
-    bad = F.filter("lines", lambda x: (F.trim(x["line"]) != "") & x["r"]["op"].isNull())
-    end = F.when(F.size(bad) > 0, bad[0]["pos"])
-    rows = lines.select("file", end.alias("end"), F.explode("lines").alias("l")).where(F.col("end").isNull() | (F.col("l.pos") < F.col("end")))
-    return rows.where(F.col("l.r.op").isNotNull()).select("file", "l.pos", "l.r")
+    read = lines.select("file", "block", F.monotonically_increasing_id().alias("at"), (F.trim("value") == "").alias("blank"), F.from_json("value", RECORD).alias("r"))
+    kept = keep(read, "lines")
+    torn = F.min(F.when(~F.col("blank") & F.col("r.op").isNull(), F.col("at")))
+    blocks = kept.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"), torn.alias("end"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")
+    blocks = blocks.select("file", "block", "end", shift.alias("shift"), F.count("end").over(before).alias("torn")).where("torn = 0")
+    rows = kept.where(F.col("r.op").isNotNull()).join(F.broadcast(blocks), ["file", "block"])
+    return rows.where(F.col("end").isNull() | (F.col("at") < F.col("end"))).select("file", (F.col("at") + F.col("shift")).alias("pos"), "r")
 
 
 def read_log(spark: SparkSession, path: str, gen: int = 1) -> DataFrame:
-    """(gen, file, pos, record fields) of every whole record; order within a ``gen`` is by (file, pos)."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return log_lines(files).select(F.lit(gen).alias("gen"), "file", "pos", "r.*")
+    """(gen, file, pos, record fields) of every whole record; order within a ``gen`` is by (file, pos). Their table stays below the shared folder."""
+    return log_lines(log_text(spark, path), write_table).select(F.lit(gen).alias("gen"), "file", "pos", "r.*")
 
 
 def write_log(records: DataFrame, path: str) -> None:

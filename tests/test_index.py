@@ -5,6 +5,7 @@ import os
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from notefold.errors import Busy, EmbeddingFails, IndexInsideSource, MassDelete, NewerIndex, NotSynced, SourceEmpty, SourceMissing
 from notefold.index import Index
@@ -306,6 +307,47 @@ def test_the_last_line_of_the_last_file_counts(spark, tmp_path):
     assert store.read("notes").first()["sha256"] == "3-199"
 
 
+def test_a_log_file_is_read_in_splits(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    lines = ["" if i % 7 == 3 else json.dumps(dict(LOG[1], path=f"{i}.md", passages=LOG[1]["passages"] * (i % 3))) for i in range(20_000)]
+    (tmp_path / "log" / "a [1].jsonl").write_text("\n".join(lines))
+    (tmp_path / "log" / "b.jsonl").write_text("\n".join([*lines[:15_000], lines[0][:30], *lines[15_000:]]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        log = read_log(spark, f"file://{tmp_path}/log").select("path", "pos", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["pos"], r["path"]) for r in log) == sorted((i, f"{i}.md") for n in (20_000, 15_000) for i in range(n) if i % 7 != 3)
+    assert len({r["part"] for r in log}) > 10
+
+
+def test_a_stream_goes_by_names_and_on_from_where_it_broke_off(spark, tmp_path):
+    logs = tmp_path / "log"
+    logs.mkdir()
+    for k, age in ((3, 9), (1, 8), (2, 7)):  # the last by name was written first
+        (logs / f"[{k}].jsonl").write_text("\n".join(json.dumps(dict(LOG[1], path=p, sha256=str(k))) for p in ("A.md", f"{k}.md")))
+        os.utime(logs / f"[{k}].jsonl", (10**9 - age, 10**9 - age))
+    store, commit, read = Store(spark, f"file://{tmp_path}/store"), Store.commit, []
+
+    def breaks(self, base, changes, *rest):
+        read.append(sorted(r["path"] for r in changes["notes"].fresh.collect()))
+        if len(read) == 3:
+            raise OSError("broke off")
+        return commit(self, base, changes, *rest)
+
+    go = lambda: stream_log(spark, f"file://{logs}", store, f"file://{tmp_path}/check", files_per_batch=1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Store, "commit", breaks)
+        with pytest.raises(Exception, match="broke off"):
+            go()
+        assert {r["path"]: r["sha256"] for r in store.read("notes").collect()} == {"A.md": "2", "1.md": "1", "2.md": "2"}
+        go()
+        go()
+    assert read == [["1.md", "A.md"], ["2.md", "A.md"], ["3.md", "A.md"], ["3.md", "A.md"]]
+    assert {r["path"]: r["sha256"] for r in store.read("notes").collect()} == {"A.md": "3", "1.md": "1", "2.md": "2", "3.md": "3"}
+
+
 def test_one_writer_at_a_time(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     with store.lock():
